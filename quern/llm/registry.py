@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import language_id, line_dedup, media, ngram_join, packing, quality, url_filter, warc
 
-QUERIES = {"op1_ngram_jaccard": ngram_join.op1_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_media_jpeg": media.op4_media_jpeg,
+    "op5_warc": warc.op5_warc,
+    "op7_quality": quality.op7_quality,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
+ORACLES = {"op5_warc": warc.OP5_SQL, "op9_url_filter": url_filter.OP9_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
