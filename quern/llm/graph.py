@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, map_arrow, partitions
+from .shared import Scratch, map_arrow
 
 #: Edges that one local union-find holds at a time.
 FOREST_EDGES = 1 << 20
@@ -64,22 +64,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges: two long columns, no nulls; repeated edges and loops are allowed.
     """
     a, b = edges.columns
-    # at most one task per hundred thousand edges or so: local forests shrink more when they see more
-    now = scratch.table(map_arrow(edges.select(F.col(a).alias("v"), F.col(b).alias("m")), _contract, "v long, m long"), f"{name}_0")
-    for i in range(1, 200):
-        both = now.union(now.select("m", "v"))
+    now = edges.select(F.col(a).alias("v"), F.col(b).alias("m"))
+    for i in range(200):
+        # read from a table, so many small files make one partition, and its forest is final where all edges fit in
+        star = scratch.table(map_arrow(now, _contract, "v long, m long"), f"{name}_{i}")
+        if i:
+            scratch.drop(f"{name}_{i - 1}", f"{name}_{i - 1}a", f"{name}_{i - 1}b", f"{name}_{i - 1}c", f"{name}_{i - 1}d")
+        stats = star.agg(F.count("*").alias("n"), F.countDistinct("v").alias("d")).first()
+        if stats.n == stats.d and star.join(star.select(F.col("v").alias("m")), "m", "left_semi").isEmpty():
+            return star
+        both = star.union(star.select("m", "v"))
         low = scratch.table(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("low")), f"{name}_{i}a")
         large = both.filter("m > v").join(low, "v").select(F.col("m").alias("v"), F.col("low").alias("m")).filter("v != m")
         large = scratch.table(large.distinct(), f"{name}_{i}b")
-        least = large.groupBy("v").agg(F.min("m").alias("low"))
-        least = scratch.table(least, f"{name}_{i}c")
+        least = scratch.table(large.groupBy("v").agg(F.min("m").alias("low")), f"{name}_{i}c")
         small = large.join(least, "v").select("v", "m", "low")
-        small = small.select(F.explode(F.array(F.struct(F.col("v"), F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("e")).select("e.*").filter("v != m").distinct()
-        small = map_arrow(small.repartition(partitions(small.sparkSession), "m"), _contract, "v long, m long")
-        new = scratch.table(small, f"{name}_{i}")
-        stats = new.agg(F.count("*").alias("n"), F.countDistinct("v").alias("d")).first()
-        if stats.n == stats.d and new.join(new.select(F.col("v").alias("m")), "m", "left_semi").isEmpty():
-            return new
-        scratch.drop(f"{name}_{i - 1}", f"{name}_{i}a", f"{name}_{i}b", f"{name}_{i}c")
-        now = new
+        small = small.select(F.explode(F.array(F.struct(F.col("v"), F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("e")).select("e.*").filter("v != m")
+        now = scratch.table(small.distinct(), f"{name}_{i}d")
     raise RuntimeError("the components didn't settle")

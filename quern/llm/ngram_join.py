@@ -44,6 +44,9 @@ FLUSH_DOCS, FLUSH_CODES = 8192, 1 << 21
 BLOCK = 512
 
 _GROUP = splitmix(64, 37)
+#: An index entry: 48 bits of the signature (the highest tells combinations from single tokens; the shard
+#: tells more of them), the class, and its size with its spare rare tokens.
+ENTRY = np.dtype([("sig", "<u4"), ("high", "<u2"), ("cls", "<i8"), ("told", "<u4")])
 
 
 def overlap(n: int | np.ndarray, percent: int):
@@ -57,6 +60,24 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int | Non
         yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted 32-bit values as steps, byte by byte: most of the high bytes are zero and compress."""
+    return np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _pack_counts(code: np.ndarray, count: np.ndarray) -> bytes:
+    """Of sorted codes: those counted once, then the others and their counts."""
+    more = count > 1
+    return np.uint32((~more).sum()).tobytes() + _planes(code[~more]) + _planes(code[more]) + np.minimum(count[more], 2**32 - 1).astype("<u4").tobytes()
+
+
+def _unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    m = (len(data) - 4 - 4 * n) // 8
+    steps = lambda at, size: np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * size, at).reshape(4, size).T).view("<u4").ravel(), dtype=np.uint32)
+    return np.concatenate([steps(4, n), steps(4 + 4 * n, m)]), np.concatenate([np.ones(n), np.frombuffer(data, "<u4", m, 4 + 4 * n + 4 * m)])
+
+
 def _profile(k: int, percent: int, shards: int):
     """Rows of each document (shard null), and token counts of plain prefixes dealt over shards."""
 
@@ -75,9 +96,8 @@ def _profile(k: int, percent: int, shards: int):
                 shard = (code % np.uint32(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                packed = np.stack([code[order], np.minimum(count[order], 2**32 - 1).astype(np.uint32)], axis=1)
                 full = np.flatnonzero(np.diff(cut))
-                yield {"doc_id": [None] * len(full), "n": [None] * len(full), "cls": [None] * len(full), "shard": full.tolist(), "counts": [packed[cut[s] : cut[s + 1]].tobytes() for s in full]}
+                yield {"doc_id": [None] * len(full), "n": [None] * len(full), "cls": [None] * len(full), "shard": full.tolist(), "counts": [_pack_counts(code[order[cut[s] : cut[s + 1]]], count[order[cut[s] : cut[s + 1]]]) for s in full]}
             rows, codes, size = ([], [], []), [], 0
 
         for doc_id, s in _sets(batches, k):
@@ -98,11 +118,11 @@ def _frequent(limits: tuple[int, int]):
     """Codes above the limits, out of shards that each lie in one partition whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held = [np.frombuffer(x.as_py(), np.uint32).reshape(-1, 2) for batch in batches for x in batch.column(1)]
+        held = [_unpack_counts(x.as_py()) for batch in batches for x in batch.column(1)]
         if held:
-            both = np.concatenate(held)
-            code, at = np.unique(both[:, 0], return_inverse=True)
-            count = np.bincount(at, weights=both[:, 1])
+            both, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            code, at = np.unique(both, return_inverse=True)
+            count = np.bincount(at, weights=times)
             often = count > limits[0]
             yield {"code": code[often].astype(np.int64), "very": count[often] > limits[1]}
 
@@ -116,7 +136,7 @@ def _classes(spark: SparkSession, counts: DataFrame, bits: int, limits: tuple[in
     one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
     words = words.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("often"), F.coalesce(F.bit_or(F.when(F.col("very"), one)), F.lit(0)).alias("very"))
     maps = np.zeros((2, bits // 64), np.int64)
-    for row in words.toLocalIterator():  # at most bits / 64 rows
+    for row in words.collect():  # at most bits / 64 rows
         maps[0, row.word], maps[1, row.word] = row.often, row.very
     return tuple(np.unpackbits(m.view(np.uint8), bitorder="little").astype(bool) for m in maps)
 
@@ -167,7 +187,7 @@ def _index(k: int, percent: int, shards: int, maps, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         often, very = maps.value
         seen: set[int] = set()
-        meta: list[tuple[int, int, int]] = []
+        meta: list[tuple[int, int]] = []
         entries: list[np.ndarray] = []
         size = 0
 
@@ -175,15 +195,16 @@ def _index(k: int, percent: int, shards: int, maps, slack: int):
             nonlocal size
             if entries:
                 sig = np.concatenate(entries)
-                own = np.repeat(np.arange(len(entries)), [len(x) for x in entries])
                 shard = (mix64(sig) % np.uint64(shards)).astype(np.int64)
+                rows = np.zeros(len(sig), ENTRY)
+                rows["sig"], rows["high"] = (sig & np.uint64(0xFFFFFFFF)), ((sig >> np.uint64(48)) & np.uint64(0xFFFF))
+                cls, told = (np.repeat(np.array(x, np.int64), [len(e) for e in entries]) for x in zip(*meta, strict=True))
+                rows["cls"], rows["told"] = cls, told
                 order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                cls, n, r = (np.array(x, np.int64) for x in zip(*meta, strict=True))
-                for s in np.flatnonzero(np.diff(cut)).tolist():
-                    part = order[cut[s] : cut[s + 1]]
-                    docs, local = np.unique(own[part], return_inverse=True)
-                    yield {"shard": [s], "sig": [sig[part].tobytes()], "own": [local.astype(np.uint16).tobytes()], "cls": [cls[docs].tobytes()], "n": [n[docs].astype(np.uint32).tobytes()], "r": [r[docs].astype(np.uint32).tobytes()]}
+                rows, cut = rows[order], np.searchsorted(shard[order], np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(cut)).tolist()
+                for s in full:
+                    yield {"shard": [s], "entries": [rows[cut[s] : cut[s + 1]].tobytes()]}
             seen.clear(), meta.clear(), entries.clear()
             size = 0
 
@@ -196,7 +217,8 @@ def _index(k: int, percent: int, shards: int, maps, slack: int):
             seen.add(cls)
             single, r, combined = signatures(s, often, very, percent, slack)
             entries.append(np.concatenate([single & np.uint64(2**63 - 1), combined | np.uint64(2**63)]))
-            meta.append((cls, len(s), r))
+            spare = max(0, r - (len(s) - overlap(len(s), percent) + 1) + 1)  # 0: too few rare tokens to prune by
+            meta.append((cls, len(s) << 3 | min(spare, 7)))
             size += len(entries[-1])
             if len(meta) >= FLUSH_DOCS or size >= FLUSH_CODES:
                 yield from flush()
@@ -209,21 +231,16 @@ def _meet(percent: int, small: int):
     """Of the shards in a partition: pairs that share signatures of few documents (bucket null), and the members of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sigs, owners, table, base = [], [], [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                sigs.append(np.frombuffer(row["sig"], np.uint64))
-                table.append(np.stack([np.frombuffer(row["cls"], np.int64), np.frombuffer(row["n"], np.uint32).astype(np.int64), np.frombuffer(row["r"], np.uint32).astype(np.int64)]))
-                owners.append(np.frombuffer(row["own"], np.uint16).astype(np.int64) + base)
-                base += table[-1].shape[1]
-        if not sigs:
+        held_ = [np.frombuffer(x.as_py(), ENTRY) for batch in batches for x in batch.column(0)]
+        if not held_:
             return
-        sig, own = np.concatenate(sigs), np.concatenate(owners)
-        del sigs, owners
-        cls, n, r = np.concatenate(table, axis=1)
+        rows = np.concatenate(held_)
+        del held_
+        sig = rows["sig"].astype(np.uint64) | rows["high"].astype(np.uint64) << np.uint64(48)
         # number the classes; rows of one class from several tasks become one
-        _, first, number = np.unique(cls, return_index=True, return_inverse=True)
-        cls, n, r, own = cls[first], n[first], r[first], number[own]
+        cls, first, own = np.unique(rows["cls"], return_index=True, return_inverse=True)
+        n, r = (rows["told"][first] >> 3).astype(np.int64), (rows["told"][first] & 7).astype(np.int64)
+        del rows
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
         keep = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))
@@ -263,10 +280,11 @@ def _meet(percent: int, small: int):
 
 
 def _needed_sets(k: int, maps):
-    """(cls, set) of documents whose doc_id may be among the needed ones."""
+    """(cls, set) of documents whose doc_id and class may be among the needed ones; each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bloom = maps.value
+        bloom, classes = maps.value
+        seen: set[int] = set()
         for batch in batches:
             ids = np.array([0 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             hit = bloom[(mix64(ids.view(np.uint64)) % np.uint64(len(bloom))).astype(np.int64)] & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -274,7 +292,12 @@ def _needed_sets(k: int, maps):
                 continue
             at = pa.array(np.flatnonzero(hit))
             sets = list(shingle_sets(batch.column(1).take(at), k))
-            yield {"doc_id": ids[hit], "cls": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], "tokens": [s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]}
+            cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            some = classes[(mix64(np.array(cls, np.int64).view(np.uint64)) % np.uint64(len(classes))).astype(np.int64)]
+            out = {c: s for c, s, ok in zip(cls, sets, some.tolist(), strict=True) if ok and c not in seen}
+            seen.update(out)
+            if out:
+                yield {"cls": list(out), "tokens": [s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in out.values()]}
 
     return run
 
@@ -314,7 +337,7 @@ def _verify(percent: int):
 
 
 def _block(percent: int):
-    """Links between components within two blocks of one large bucket, as a spanning forest."""
+    """Links between components in a block of one large bucket (side 1) and the members that ask (side 0), as a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
         side, comp, cls = (table.column(c).to_numpy() for c in ("side", "comp", "cls"))
@@ -322,7 +345,9 @@ def _block(percent: int):
         size = np.array([len(x) for x in sets])
         tokens, local = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), size)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         shared = np.zeros((len(left), len(right)), np.float32)
         often = np.bincount(local, minlength=len(tokens)) > 1
         number = np.cumsum(often) - 1
@@ -341,25 +366,27 @@ def _block(percent: int):
 
 
 def _sets_of(docs: DataFrame, profile: DataFrame, needed: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
-    """(cls, tokens) of the needed classes; a Bloom filter of fixed size spares the other documents' hashing."""
+    """(cls, tokens) of the needed classes, and of few others; some classes may come more than once.
+
+    Two Bloom filters of fixed size, of the doc_ids and of the classes, spare the other documents' hashing
+    and keep their sets out, so that no texts or sets are shuffled to choose them.
+    """
     spark, bits = docs.sparkSession, 1 << 23
     ids = scratch.table(needed.distinct().join(profile, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), f"{name}_ids")
-    bit = ids.select("doc_id").distinct()
-    words = map_arrow(bit, _bloom_bits(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    bloom = np.zeros(bits // 64, np.int64)
-    for row in words.toLocalIterator():  # at most bits / 64 rows
-        bloom[row.word] = row.mask
-    bloom = np.unpackbits(bloom.view(np.uint8), bitorder="little").astype(bool)
-    found = map_arrow(docs, _needed_sets(k, spark.sparkContext.broadcast(bloom)), "doc_id long, cls long, tokens binary")
-    found = found.join(ids, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "tokens")
-    return scratch.table(found, name)
+    words = map_arrow(ids.select("doc_id", "cls"), _bloom_bits(bits), "filter int, word long, mask long").groupBy("filter", "word").agg(F.bit_or("mask").alias("mask"))
+    filters = np.zeros((2, bits // 64), np.int64)
+    for row in words.collect():  # at most 2 * bits / 64 rows
+        filters[row["filter"], row.word] = row.mask
+    filters = tuple(np.unpackbits(x.view(np.uint8), bitorder="little").astype(bool) for x in filters)
+    return scratch.table(map_arrow(docs, _needed_sets(k, spark.sparkContext.broadcast(filters)), "cls long, tokens binary"), name)
 
 
 def _bloom_bits(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            bit = (mix64(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-            yield {"word": bit // 64, "mask": longs(np.uint64(1) << (bit % 64).astype(np.uint64))}
+            for f in range(2):
+                bit = (mix64(batch.column(f).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+                yield {"filter": np.full(len(bit), f), "word": bit // 64, "mask": longs(np.uint64(1) << (bit % 64).astype(np.uint64))}
 
     return run
 
@@ -374,13 +401,15 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     profile = both.filter("shard is null").select("doc_id", "n", "cls")
     counts = both.filter("shard is not null").select("shard", "counts").repartition(shards, "shard")
     maps = spark.sparkContext.broadcast(_classes(spark, counts, class_bits, frequent))
-    index = map_arrow(docs, _index(k, percent, shards, maps, slack), "shard int, sig binary, own binary, cls binary, n binary, r binary")
+    index = map_arrow(docs, _index(k, percent, shards, maps, slack), "shard int, entries binary")
     met = map_arrow(index.repartition(shards, "shard").drop("shard"), _meet(percent, small), "a long, b long, na long, nb long, ra long, rb long, rare long, bucket long")
     met = scratch.table(met, "met")
     pairs = met.filter("bucket is null").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb", "ra", "rb")], F.sum("rare").alias("rare"))
-    # the rare tokens of the shorter prefix that the other lacks must not exceed what a similar pair can lose
+    # of the prefix that ends first, the rare tokens that the other set lacks must not exceed what a similar pair can lose:
+    # r - shared <= n - overlap of the pair, where r = n - overlap of the set + spare; sets with too few rare tokens stay
     enough = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
-    pairs = pairs.filter((F.col("ra") - F.col("rare") <= F.col("na") - enough) | (F.col("rb") - F.col("rare") <= F.col("nb") - enough)).select("a", "b")
+    fits = lambda n, r: (F.col(r) == 0) | (F.col(r) - F.ceil(F.col(n) * percent / F.lit(100)) + enough <= F.col("rare"))
+    pairs = pairs.filter(fits("na", "ra") | fits("nb", "rb")).select("a", "b")
     large = met.filter("bucket is not null").select("bucket", F.col("a").alias("cls"))
     heads = large.groupBy("bucket").agg(F.min("cls").alias("a"))
     stars = large.join(heads, "bucket").filter("a != cls").select("a", F.col("cls").alias("b"))
@@ -395,19 +424,21 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     edges = scratch.table(map_arrow(dealt, _verify(percent), "a long, b long"), "edges")
     if large.isEmpty():
         return profile, edges
-    # what stars can't settle: buckets whose members are still in several components, every two blocks against each other
+    # what stars can't settle: buckets whose members are still in several components. Of two such members one at least
+    # is outside the bucket's largest component; those outside meet every block of the bucket
     comp = components(edges, scratch, "near")
     members = large.join(comp, large.cls == comp.v, "left").select("bucket", "cls", F.coalesce("m", "cls").alias("comp"))
     members = scratch.table(members, "members")
-    open_ = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low != high")
-    open_ = scratch.table(open_.select("bucket", ((F.col("size") + BLOCK - 1) / BLOCK).cast("int").alias("blocks")), "open")
+    of = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    open_ = of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+    open_ = scratch.table(open_.select("bucket", F.col("top.comp").alias("most"), ((F.col("size") + BLOCK - 1) / BLOCK).cast("int").alias("blocks")), "open")
     if open_.isEmpty():
         return profile, edges
     members = members.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
     sets = _sets_of(docs, profile, members.select("cls"), k, scratch, "block_sets")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = members.select("bucket", "cls", "comp", "block", other).select("bucket", "cls", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = cells.join(sets, "cls").groupBy("bucket", "i", "j").applyInArrow(_block(percent), "a long, b long")
+    asked = members.filter("comp != most").select("bucket", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
+    cells = members.select("bucket", "cls", "comp", "block", F.lit(1).alias("side")).union(asked)
+    more = cells.join(sets, "cls").groupBy("bucket", "block").applyInArrow(_block(percent), "a long, b long")
     return profile, scratch.table(edges.union(more), "all_edges")
 
 
