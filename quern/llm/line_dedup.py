@@ -4,7 +4,9 @@ Each task fills both filters from its lines; the filters of all tasks are merged
 bit set in two tasks' once-filters belongs to the twice-filter). Only lines that the twice-filter
 suspects are shuffled, as 128-bit digests with their doc_id, for an exact count of documents and the
 choice of the document that keeps them. The filters' size is fixed (filter_bits); past their capacity
-more lines are suspected and shuffled, and results stay exact.
+more lines are suspected and shuffled, and results stay exact. If the confirmed keys are few enough
+(broadcast_keys, checked), they are broadcast and the texts stay where they are; otherwise the texts are
+joined with the keys that they lose.
 
 A line's key is the line with all of [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased.
 Keys of at least min_chars code points found in at least min_docs documents lose all their lines
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from .textkit import IS_WS, LOWER, chunks, hash_runs, mix64
 MIN_CHARS, MIN_DOCS = 40, 5
 FILTER_BITS = 1 << 26
 SLICES = 64
+#: Repeated keys up to which they are broadcast (24 bytes each) and no text is shuffled; beyond, texts are joined with their drops.
+BROADCAST_KEYS = 1 << 18
 _LOWER = LOWER.tobytes()
 _SPACE = bytes(np.flatnonzero(IS_WS).tolist())
 
@@ -130,36 +135,66 @@ def _suspects(filter_, min_chars: int):
     return run
 
 
+def _without(text: str, gone: set[bytes], min_chars: int) -> tuple[str, int]:
+    """The text without the lines whose digests are gone, and their number."""
+    lines = text.split("\n")
+    kept = []
+    for line in lines:
+        if len(line) >= min_chars:
+            key = line.encode().strip(_SPACE).translate(_LOWER)
+            if digest(key) in gone and len(key.decode()) >= min_chars:
+                continue
+        kept.append(line)
+    return "\n".join(kept), len(lines) - len(kept)
+
+
+def _result(batch: pa.RecordBatch, names: list[str], at: int, gone: dict[int, set[bytes]], min_chars: int) -> dict:
+    """The batch with the lines dropped that gone has for some of its rows, and the counts of lines."""
+    texts = batch.column(at)
+    n_dropped = np.zeros(len(texts), np.int64)
+    n_lines = pa.compute.add(pa.compute.count_substring(texts.fill_null(""), "\n"), 1)
+    if gone:
+        new = texts.to_pylist()
+        for i, keys in gone.items():
+            new[i], n_dropped[i] = _without(new[i] or "", keys, min_chars)
+        texts = pa.array(new, texts.type)
+    return {n: texts if i == at else batch.column(i) for i, n in enumerate(names)} | {"__n_lines": n_lines, "__n_dropped": n_dropped}
+
+
 def _drop(names: list[str], at: int, min_chars: int):
     """Texts without the dropped lines. The last column holds the digests to drop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            texts, drops = batch.column(at), batch.column(batch.num_columns - 1)
-            n_dropped = np.zeros(len(texts), np.int64)
-            n_lines = pa.compute.add(pa.compute.count_substring(texts.fill_null(""), "\n"), 1)
-            hit = np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False))
-            if len(hit):
-                new = texts.to_pylist()
-                for i in hit.tolist():
-                    gone = {bytes(x) for x in drops[i].as_py()}
-                    lines = (new[i] or "").split("\n")
-                    kept = []
-                    for line in lines:
-                        if len(line) >= min_chars:
-                            key = line.encode().strip(_SPACE).translate(_LOWER)
-                            if digest(key) in gone and len(key.decode()) >= min_chars:
-                                continue
-                        kept.append(line)
-                    n_dropped[i] = len(lines) - len(kept)
-                    new[i] = "\n".join(kept)
-                texts = pa.array(new, texts.type)
-            yield {n: texts if i == at else batch.column(i) for i, n in enumerate(names)} | {"__n_lines": n_lines, "__n_dropped": n_dropped}
+            drops = batch.column(batch.num_columns - 1)
+            hit = np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            yield _result(batch, names, at, {i: {bytes(x) for x in drops[i].as_py()} for i in hit}, min_chars)
+
+    return run
+
+
+def _drop_known(names: list[str], at: int, own: int, filter_, repeated, min_chars: int):
+    """The same, where the repeated keys and the doc_ids that keep them were broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        twice, last_of = np.unpackbits(filter_.value).astype(bool), repeated.value
+        for batch in batches:
+            ids = batch.column(own).to_pylist()
+            gone: dict[int, set[bytes]] = {}
+            for start, _, raw, offsets in chunks(batch.column(at)):
+                text, hashes, first, last = long_keys(raw, offsets, min_chars)
+                a, b = _places(hashes, len(twice))
+                kept = LOWER[raw].tobytes()
+                for k in np.flatnonzero(twice[a] & twice[b]).tolist():
+                    key, i = digest(kept[first[k] : last[k]]), int(text[k]) + start
+                    if key in last_of and ids[i] != last_of[key]:
+                        gone.setdefault(i, set()).add(key)
+            yield _result(batch, names, at, gone, min_chars)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """The documents with repeated lines dropped, and two more columns: __n_lines (before) and __n_dropped."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -168,7 +203,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     merged = map_arrow(slices.repartition(min(SLICES, partitions(spark)), "slice"), _merge(filter_bits), "slice int, twice binary")
     step = filter_bits // 8 // SLICES
     twice = np.zeros(filter_bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # SLICES rows, filter_bits / 8 bytes before compression
+    for row in merged.collect():  # SLICES rows, filter_bits / 8 bytes before compression
         twice[row.slice * step : (row.slice + 1) * step] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
     filter_ = spark.sparkContext.broadcast(twice)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -176,15 +211,20 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     # written, so that the join below reads both sides anew and can split a key that a third of all documents hold
     repeated = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs).select("key", "last")
     repeated = scratch.table(repeated, "repeated")
-    drops = suspects.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    drops = drops.groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_set("key").alias("__drops"))
-    drops = scratch.table(drops, "drops")
     names = docs.columns
     numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at, own = names.index("text"), numbered[f"c{names.index('doc_id')}"]
-    joined = numbered.join(drops, own.cast("long").eqNullSafe(drops["__drop_id"]), "left").drop("__drop_id")
+    at, own = names.index("text"), names.index("doc_id")
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", __n_lines long, __n_dropped long"
-    out = map_arrow(joined, _drop(numbered.columns, at, min_chars), schema)
+    few = repeated.limit(broadcast_keys + 1)
+    if few.count() <= broadcast_keys:
+        known = spark.sparkContext.broadcast({bytes(r.key): r["last"] for r in repeated.collect()})  # at most broadcast_keys rows
+        out = map_arrow(numbered, _drop_known(numbered.columns, at, own, filter_, known, min_chars), schema)
+    else:
+        drops = suspects.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+        drops = drops.groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_set("key").alias("__drops"))
+        drops = scratch.table(drops, "drops")
+        joined = numbered.join(drops, F.col(f"c{own}").cast("long").eqNullSafe(drops["__drop_id"]), "left").drop("__drop_id")
+        out = map_arrow(joined, _drop(numbered.columns, at, min_chars), schema)
     return out.toDF(*names, "__n_lines", "__n_dropped")
 
 
