@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, media, ngram_join, packing, quality, url_filter, warc
+from . import embedding_dedup, language_id, line_dedup, media, ngram_join, packing, quality, sentencepiece, url_filter, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_media_jpeg": media.op4_media_jpeg,
     "op5_warc": warc.op5_warc,
+    "op6_sentencepiece": sentencepiece.op6_sentencepiece,
     "op7_quality": quality.op7_quality,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
