@@ -1,10 +1,7 @@
-"""Tables that cut lineage, in the folder that the whole cluster shares; and Arrow helpers."""
+"""Arrow helpers, and the tables of the core package."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,51 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-
-_left: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (a single machine, tests), one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quern.shared.folder", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("quern.shared.folder", folder)
-    return folder.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Written tables of one job. A table can be read again after any executor is lost."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark, self.path = spark, f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
-        _left.append((spark, self.path))
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables whose readers have all finished."""
-        for name in names:
-            delete(self.spark, f"{self.path}/{name}")
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _left:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may have ended
-            return
+from ..tables import Scratch, delete, shared_folder  # noqa: F401
 
 
 def small_batches(spark: SparkSession) -> None:
