@@ -27,14 +27,18 @@ def spark_type(t: Type) -> T.DataType:
     return T.StructType([T.StructField(f"_{i}", spark_type(f)) for i, f in enumerate(t.fields)])
 
 
+def _number(n: int) -> Column:
+    return F.lit(str(n)).cast(WIDE)
+
+
 def _wide(x: Column) -> Column:
     return x.cast(WIDE)
 
 
 def _modulo(x: Column, bits: int, signed: bool) -> Column:
     """A wide decimal, wrapped."""
-    half = F.lit(2 ** (bits - 1)).cast(WIDE) if signed else F.lit(0).cast(WIDE)
-    return (F.pmod(x + half, F.lit(2**bits).cast(WIDE)) - half).cast(WIDE)
+    half = _number(2 ** (bits - 1) if signed else 0)
+    return (F.pmod(x + half, _number(2**bits)) - half).cast(WIDE)
 
 
 def wrap(x: Column, p: str) -> Column:
@@ -69,7 +73,7 @@ def arithmetic(op: str, a: Column, b: Column, p: str) -> Column:
             out = a % b if op == "%" else F.floor((a - a % b) / b)
             return out.cast(PRIMITIVE[p]) if op == "%" else F.call_function("div", a, b).cast(PRIMITIVE[p])
         if op == "*":  # by halves, so that 38 digits do
-            half = F.lit(2**32).cast(WIDE)
+            half = _number(2**32)
             low = (_wide(b) % half).cast(WIDE)
             high = F.floor(_wide(b) / half).cast(WIDE)
             top = ((_wide(a) * high).cast(WIDE) % half).cast(WIDE)
