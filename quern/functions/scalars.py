@@ -41,6 +41,13 @@ def _modulo(x: Column, bits: int, signed: bool) -> Column:
     return (F.pmod(x + half, _number(2**bits)) - half).cast(WIDE)
 
 
+def _wide_div(a: Column, b: Column) -> Column:
+    """A quotient that may not fit into a long, which `div` gives: halved first, then put right by its remainder."""
+    half = F.call_function("div", a, _wide(b) * 2).cast(WIDE) * 2
+    rest = a - half * b
+    return (half + F.when(rest >= b, 1).otherwise(0)).cast(WIDE)
+
+
 def wrap(x: Column, p: str) -> Column:
     """A long (or for 64-bit types a wide decimal) in the width of p."""
     bits, signed = BITS[p], p[0] != "u"
@@ -70,12 +77,13 @@ def arithmetic(op: str, a: Column, b: Column, p: str) -> Column:
     if p == "uint64":
         if op in "/%":
             a, b = _wide(a), _wide(b)
-            out = a % b if op == "%" else F.floor((a - a % b) / b)
-            return out.cast(PRIMITIVE[p]) if op == "%" else F.call_function("div", a, b).cast(PRIMITIVE[p])
+            if op == "%":
+                return (a % b).cast(PRIMITIVE[p])
+            return _wide_div(a, b).cast(PRIMITIVE[p])
         if op == "*":  # by halves, so that 38 digits do
             half = _number(2**32)
             low = (_wide(b) % half).cast(WIDE)
-            high = F.floor(_wide(b) / half).cast(WIDE)
+            high = F.call_function("div", _wide(b), half).cast(WIDE)
             top = ((_wide(a) * high).cast(WIDE) % half).cast(WIDE)
             return _modulo(((_wide(a) * low).cast(WIDE) + (top * half).cast(WIDE)).cast(WIDE), 64, False).cast(PRIMITIVE[p])
         return _modulo(_wide(a) + _wide(b) if op == "+" else _wide(a) - _wide(b), 64, False).cast(PRIMITIVE[p])
