@@ -6,17 +6,19 @@ from it to any vector of the cell (the distances to the bisectors between its ow
 cell's, squared and added), until the bound that covers the target recall. Visited vectors of the same
 label are verified by cosine in double precision.
 
-For a target recall below 1 the bound is calibrated on the sampled pairs above the threshold; for 1, the
-default, it is what the threshold implies, and no pair is missed. A cell is worked on in blocks of BLOCK vectors against the vectors that
+For a target recall below 1 the bound is calibrated on the sampled pairs above the threshold (SLACK times
+what they need, and FLOOR of what the threshold implies at least); for 1 it is what the threshold
+implies, and no pair is missed. A cell is worked on in blocks of BLOCK vectors against the vectors that
 visit it, as matrix products that give counts and spanning forests, never pairs; so a hot cell or
 label is many tasks. A pair found from one side counts for both.
 
 Equal vectors form one class, compared once and counted with its size. The codebooks come from a
 bounded sample (SAMPLE classes, those with the smallest hashes); every row is indexed.
 
-Defined cases. Vectors that are null, zero, of another length than most sampled ones, or hold null or
+Defined cases. Vectors that are null, zero, or hold null or
 non-finite components, and rows whose label is null, link with nothing (n_links 0, their own
-component). Rows with a null vec_id link with nothing either and get null component_id and kept. Repeated
+component). Vectors of another length than most sampled ones link with their equals only. Rows with a null
+vec_id link with nothing and get null component_id and kept. Repeated
 rows link with each other. Further columns are ignored; an empty table gives an empty result.
 """
 
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from .graph import components, forest
 from .shared import Scratch, map_arrow, partitions, small_batches
 
-THRESHOLD, RECALL = 0.98, 1.0
+THRESHOLD, RECALL = 0.98, 0.999
 SAMPLE, ROUNDS, BLOCK = 4096, 12, 1024
-#: Classes a cell holds on average at the finest; codebooks have between 4 and 256 centroids.
-PER_CELL = 64
-SLACK = 1.25
+#: Classes of a label that a cell holds on average; codebooks have between 4 and 256 centroids.
+PER_CELL = 256
+SLACK, FLOOR = 4.0, 0.1
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -76,7 +78,7 @@ class MultiIndex:
         if recall < 1 and len(i) >= 50:
             own, low = self.bounds(sample)
             seen = low[0][i, own[0][j]] + low[1][i, own[1][j]]
-            self.bound = min(self.bound, SLACK * float(np.quantile(seen, recall)) + 1e-9)
+            self.bound = min(self.bound, max(FLOOR * self.bound, SLACK * float(np.quantile(seen, recall))))
 
     def bounds(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Own centroid in each half; squared lower bounds of the distance to vectors of each other centroid."""
@@ -106,21 +108,35 @@ class MultiIndex:
         return np.concatenate(rows), np.concatenate(cells)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """A class for each sound vector: its label and bytes."""
-    for batch in batches:
+def _classes(single: bool):
+    """A class for each sound vector: its label and bytes, in the column's own precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield from _rows(batch, single)
+
+    return run
+
+
+def vectors_of(data, single: bool) -> np.ndarray:
+    """Vectors of one length, from their bytes."""
+    return unit(np.stack([np.frombuffer(x if isinstance(x, bytes) else x.as_py(), np.float32 if single else np.float64) for x in data]))
+
+
+def _rows(batch: pa.RecordBatch, single: bool) -> Iterator[dict]:
+    if batch.num_rows:
         ids, labels, vectors = (c.to_pylist() for c in batch.columns[:3])
         cls, data = [], []
         for i, label, v in zip(ids, labels, vectors, strict=True):
             ok = i is not None and label is not None and v and None not in v
             x = np.array(v, np.float64) if ok else None
             ok = ok and np.isfinite(x).all() and (x != 0).any()
-            data.append(x.tobytes() if ok else None)
+            data.append((x.astype(np.float32) if single else x).tobytes() if ok else None)
             cls.append(xxhash.xxh3_64_intdigest(f"{label}|".encode() + data[-1]) - (1 << 63) if ok else None)
         yield {"vec_id": ids, "label": labels, "cls": cls, "data": data}
 
 
-def _place(index):
+def _place(index, single: bool):
     """A row per class in its own cell (ask false), and one for each cell that it visits (ask true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -128,11 +144,12 @@ def _place(index):
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                ok = [len(x.as_py()) == 16 * m.half or len(x.as_py()) == 8 * (m.books[0].shape[1] + m.books[1].shape[1]) for x in part.column(2)]
+                size = (m.books[0].shape[1] + m.books[1].shape[1]) * (4 if single else 8)
+                ok = [len(x.as_py()) == size for x in part.column(2)]
                 part = part.filter(pa.array(ok))
                 if not part.num_rows:
                     continue
-                x = unit(np.stack([np.frombuffer(v.as_py(), np.float64) for v in part.column(2)]))
+                x = vectors_of(part.column(2), single)
                 own, low = m.bounds(x)
                 row, cell = m.visits(low)
                 home = own[0] * len(m.books[1]) + own[1]
@@ -143,7 +160,7 @@ def _place(index):
     return run
 
 
-def _verify(index, threshold: float):
+def _verify(index, threshold: float, single: bool):
     """Of each (label, cell, block): links counted for both sides, and a forest of them. Rows come sorted by that key."""
 
     def work(x: pa.Table) -> Iterator[dict]:
@@ -153,7 +170,7 @@ def _verify(index, threshold: float):
         points, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
         if not len(points) or not len(asking):
             return
-        vectors = unit(np.stack([np.frombuffer(v.as_py(), np.float64) for v in x["data"]]))
+        vectors = vectors_of(x["data"], single)
         (own, low) = m.bounds(vectors)
         counts = np.zeros(len(cls), np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
@@ -198,17 +215,16 @@ def _verify(index, threshold: float):
     return run
 
 
-def fit(classes: DataFrame, count: int, threshold: float, recall: float) -> MultiIndex | None:
+def fit(classes: DataFrame, count: int, threshold: float, recall: float, single: bool) -> MultiIndex | None:
     """The driver gets at most SAMPLE vectors."""
-    part = classes.select("data", F.pmod(F.xxhash64("cls"), F.lit(1 << 32)).alias("h"))
+    part = classes.select("data", "label", F.pmod(F.xxhash64("cls"), F.lit(1 << 32)).alias("h"))
     rows = part.filter(F.col("h") < int((1 << 32) * min(1.0, (2 * SAMPLE + 100) / max(1, count)))).orderBy("h").limit(SAMPLE).collect()
     if not rows:
         return None
     usual = Counter(len(r.data) for r in rows).most_common(1)[0][0]
-    sample = unit(np.stack([np.frombuffer(r.data, np.float64) for r in rows if len(r.data) == usual]))
-    if sample.shape[1] < 2:
-        sample = np.concatenate([sample, np.zeros_like(sample)], axis=1)[:, :2]
-    k = int(np.clip(2 ** round(np.log2(max(1, count / PER_CELL)) / 2), 4, 256))
+    sample = vectors_of([bytes(r.data) for r in rows if len(r.data) == usual], single)
+    labels = len({r.label for r in rows})
+    k = int(np.clip(2 ** round(np.log2(max(1, count / labels / PER_CELL)) / 2), 4, 256))
     return MultiIndex(sample, k, threshold, recall)
 
 
@@ -217,22 +233,23 @@ def dedup(embeddings: DataFrame, *, threshold: float = THRESHOLD, recall: float
     spark = embeddings.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "embedding_dedup")
+    single = dict(embeddings.dtypes)["embedding"] == "array<float>"
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = scratch.table(map_arrow(rows, _classes, "vec_id long, label long, cls long, data binary"), "rows")
+    rows = scratch.table(map_arrow(rows, _classes(single), "vec_id long, label long, cls long, data binary"), "rows")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.first("data").alias("data"), F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = scratch.table(classes, "classes")
-    index = fit(classes, classes.count(), threshold, recall)
+    index = fit(classes, classes.count(), threshold, recall, single)
     own = rows.select("vec_id", "cls")
     alone = own.filter("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
     if index is None:
         return alone
     shared = spark.sparkContext.broadcast(index)
-    placed = scratch.table(map_arrow(classes.select("cls", "label", "data", "n"), _place(shared), "label long, cell long, cls long, n long, data binary, ask boolean"), "placed")
+    placed = scratch.table(map_arrow(classes.select("cls", "label", "data", "n"), _place(shared, single), "label long, cell long, cls long, n long, data binary, ask boolean"), "placed")
     blocks = placed.filter("not ask").groupBy("label", "cell").agg(((F.count("*") + BLOCK - 1) / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(blocks, ["label", "cell"])
     every = F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))))
     dealt = dealt.select("label", "cell", every.alias("block"), "cls", "n", "data", "ask").repartition(partitions(spark), "label", "cell", "block").sortWithinPartitions("label", "cell", "block")
-    found = scratch.table(map_arrow(dealt, _verify(shared, threshold), "cls long, links long, a long, b long"), "found")
+    found = scratch.table(map_arrow(dealt, _verify(shared, threshold, single), "cls long, links long, a long, b long"), "found")
     scratch.drop("placed")
     comp = components(found.filter("a is not null").select("a", "b"), scratch, "comp")
     links = found.filter("cls is not null").groupBy("cls").agg(F.sum("links").alias("links"))
