@@ -34,7 +34,7 @@ from .shared import Scratch, map_arrow, partitions, small_batches
 from .textkit import IS_WS, LOWER, chunks, hash_runs, mix64
 
 MIN_CHARS, MIN_DOCS = 40, 5
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 SLICES = 64
 #: Repeated keys up to which they are broadcast (24 bytes each) and no text is shuffled; beyond, texts are joined with their drops.
 BROADCAST_KEYS = 1 << 18
@@ -73,6 +73,14 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(bits)).astype(np.int64), (mix64(hashes) % np.uint64(bits)).astype(np.int64)
 
 
+def _holds(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Are both bits of each hash set in a packed filter?"""
+    out = np.ones(len(hashes), bool)
+    for at in _places(hashes, 8 * len(packed)):
+        out &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 def _fill(bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
@@ -119,12 +127,10 @@ def digest(key: bytes) -> bytes:
 
 def _suspects(filter_, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        twice = np.unpackbits(filter_.value).astype(bool)
         for batch in batches:
             for start, _, raw, offsets in chunks(batch.column(1)):
                 text, hashes, first, last = long_keys(raw, offsets, min_chars)
-                a, b = _places(hashes, len(twice))
-                hit = twice[a] & twice[b]
+                hit = _holds(filter_.value, hashes)
                 text, hashes, first, last = text[hit], hashes[hit], first[hit], last[hit]
                 one = _once_each(text, hashes)
                 if len(one):
@@ -177,15 +183,14 @@ def _drop_known(names: list[str], at: int, own: int, filter_, repeated, min_char
     """The same, where the repeated keys and the doc_ids that keep them were broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        twice, last_of = np.unpackbits(filter_.value).astype(bool), repeated.value
+        last_of = repeated.value
         for batch in batches:
             ids = batch.column(own).to_pylist()
             gone: dict[int, set[bytes]] = {}
             for start, _, raw, offsets in chunks(batch.column(at)):
                 text, hashes, first, last = long_keys(raw, offsets, min_chars)
-                a, b = _places(hashes, len(twice))
                 kept = LOWER[raw].tobytes()
-                for k in np.flatnonzero(twice[a] & twice[b]).tolist():
+                for k in np.flatnonzero(_holds(filter_.value, hashes)).tolist():
                     key, i = digest(kept[first[k] : last[k]]), int(text[k]) + start
                     if key in last_of and ids[i] != last_of[key]:
                         gone.setdefault(i, set()).add(key)
