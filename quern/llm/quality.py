@@ -26,7 +26,7 @@ from .shared import map_arrow, small_batches
 from .textkit import CHUNK_BYTES, IS_WS, chunks, hash_runs
 
 PER_CLASS, PASSAGE_WORDS, THRESHOLD = 400, 64, 0.7
-HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-4
+HIDDEN, EPOCHS, RATE, DECAY = 24, 150, 0.03, 1e-4
 
 #: A class for each ASCII sign that isn't a letter or digit, and for capitals, small letters, digits, controls, other bytes.
 _SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
