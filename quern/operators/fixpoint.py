@@ -68,9 +68,9 @@ class Fixpoint:
         old: dict[str, DataFrame | None] = dict.fromkeys(heads)
         for round_ in range(1, self.limit + 2):
             if not any(n for _, n in delta.values()):
-                return {rel: union([df for df, _ in parts[rel]]) for rel in heads}
+                return {rel: self._whole(rel, parts[rel], aggregates[rel]) for rel in heads}
             began = time.time()
-            now = {rel: union([df for df, _ in parts[rel]]) for rel in heads}
+            now = {rel: self._whole(rel, parts[rel], aggregates[rel]) for rel in heads}
             fresh: dict[str, tuple[DataFrame, int, str]] = {}
             for rel in heads:
                 new = []
@@ -99,24 +99,20 @@ class Fixpoint:
                     delta[rel], old[rel] = (rules.empty(rel), 0), now[rel]
                     continue
                 df, n, name = fresh[rel]
-                if aggregates[rel]:  # better values replace those of their groups
-                    keys = [c for c in columns_of(rules.schema[rel]) if c != f"c{aggregates[rel][1]}"]
-                    kept = now[rel].join(df, keys, "left_anti") if keys else rules.empty(rel)
-                    state, _, state_name = self.scratch.counted(kept.select(*now[rel].columns).union(df))
-                    gone = [x for _, x in parts[rel]]
-                    parts[rel] = [(state, state_name)]
-                    if round_ > 1:
-                        self.scratch.drop(*gone)
-                else:
-                    parts[rel].append((df, name))
-                    if len(parts[rel]) > PARTS:
-                        merged, _, merged_name = self.scratch.counted(union([x for x, _ in parts[rel][:-1]]))
-                        parts[rel] = [(merged, merged_name), (df, name)]
+                parts[rel].append((df, name))
+                if len(parts[rel]) > PARTS:
+                    merged, _, merged_name = self.scratch.counted(self._whole(rel, parts[rel][:-1], aggregates[rel]))
+                    parts[rel] = [(merged, merged_name), (df, name)]
                 old[rel] = union([x for x, _ in parts[rel][:-1]]) if len(parts[rel]) > 1 else now[rel]
                 delta[rel] = (df, n)
                 self.report(relation=rel, round=round_, rows=n, seconds=round(time.time() - began, 3))
         raise DivergenceProblem(f"{', '.join(heads)} didn't settle within {self.limit} rounds")
 
+    def _whole(self, rel: str, parts: list[tuple[DataFrame, str]], agg: tuple[str, int] | None) -> DataFrame:
+        """A relation's parts together; of an aggregated one's, the best value of each group."""
+        out = union([df for df, _ in parts])
+        return aggregate(out, *agg, self.rules.schema[rel]) if agg and len(parts) > 1 else out
+
     def _fresh(self, rel: str, new: DataFrame, now: DataFrame, agg: tuple[str, int] | None) -> DataFrame:
         """Tuples that aren't known yet, or values that are better than the known ones."""
         names = columns_of(self.rules.schema[rel])
