@@ -48,16 +48,41 @@ class Fixpoint:
         return self.semi_naive(stratum, store) if monotone else self.naive(stratum, store)
 
     # semi-naive
-    def semi_naive(self, stratum: Stratum, store: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def extend(self, stratum: Stratum, store: dict[str, DataFrame], plus: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """A monotone stratum without aggregates after insertions: (whole relations, what is new in them).
+
+        store holds the new values of what the stratum reads and the present ones of its heads, plus what is
+        new in them. Only derivations that use a new row are made.
+        """
+        rules, whole, fresh = self.rules, {}, {}
+        for rel in stratum.heads:
+            seeds = [plus[rel]] if rel in plus else []
+            for r in (r for r in stratum.rules if r.head.rel == rel):
+                for i, p in enumerate(r.body):
+                    if isinstance(p, Atom) and not p.negated and p.rel in plus and p.rel not in stratum.heads:
+                        seeds.append(rules.tuples(r, lambda j, name, i=i: plus[name] if j == i else store[name]))
+            new = union(seeds).distinct() if seeds else rules.empty(rel)
+            names = columns_of(rules.schema[rel])
+            known = store[rel].join(plus[rel], names, "left_anti") if rel in plus else store[rel]
+            fresh[rel] = self.scratch.counted(new.join(known, names, "left_anti").select(*names))
+            whole[rel] = self.scratch.counted(known.select(*names).union(fresh[rel][0]))
+        if not stratum.recursive:
+            return {k: v[0] for k, v in whole.items()}, {k: v[0] for k, v in fresh.items()}
+        out = self.semi_naive(stratum, store, {k: [(df, name)] for k, (df, _, name) in whole.items()}, {k: (df, n) for k, (df, n, _) in fresh.items()})
+        gained = {rel: out[rel].join(store[rel], columns_of(rules.schema[rel]), "left_anti").union(plus[rel] if rel in plus else rules.empty(rel)).distinct() for rel in stratum.heads}
+        return out, {rel: self.scratch.counted(df)[0] for rel, df in gained.items()}
+
+    def semi_naive(self, stratum: Stratum, store: dict[str, DataFrame], parts: dict | None = None, delta: dict | None = None) -> dict[str, DataFrame]:
+        """The least fixpoint; with parts and delta, from a state on in which the delta is new."""
         rules, heads = self.rules, stratum.heads
         aggregates = {rel: next((a for r in stratum.rules if r.head.rel == rel and (a := aggregate_of(r))), None) for rel in heads}
         recursive = [(r, [i for i, p in enumerate(r.body) if isinstance(p, Atom) and p.rel in heads]) for r in stratum.rules]
         # what doesn't change in the loop is kept
         fixed = {p.rel for r in stratum.rules for p in r.body if isinstance(p, Atom) and p.rel not in heads}
         invariant = {rel: store[rel].persist() if not store[rel].is_cached else store[rel] for rel in fixed}
-        parts: dict[str, list[tuple[DataFrame, str]]] = {rel: [] for rel in heads}
-        delta: dict[str, tuple[DataFrame, int]] = {}
-        for rel in heads:
+        given = parts is not None
+        parts, delta = parts or {}, delta or {}
+        for rel in [] if given else heads:
             start = [store[f"+{rel}"]] if f"+{rel}" in store else []
             start += [rules.tuples(r, lambda i, name: invariant[name]) for r, at in recursive if r.head.rel == rel and not at]
             first = union(start).distinct() if start else rules.empty(rel)

@@ -1,8 +1,10 @@
 """Transactions over a program's inputs; each commit gives the signed changes of its outputs.
 
-An input keeps a signed count for each row and shows the rows whose count is positive. A commit
-evaluates what depends on the changed relations and compares it with the state before; unchanged
-strata keep their frames. State is written to the shared folder, so it survives lost executors.
+An input keeps a signed count for each row and shows the rows whose count is positive. A commit works on
+what depends on changed relations; other strata keep their frames. Where the changes are insertions only
+and a stratum is monotone, its relations are extended by the derivations that use a new row; otherwise
+they are evaluated again and compared with the state before. State is written to the shared folder, so it
+survives lost executors.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from ..engine import Engine
 from ..errors import EngineProblem
 from ..operators.rules import UNIT, columns_of
 from ..plans.ast import Atom
+from ..plans.program import aggregate_of
 from ..sources.files import lines_of, read_delimited, write_lines
 
 
@@ -30,6 +33,7 @@ class IncrementalEngine(Engine):
         self._store: dict[str, DataFrame] = {}
         self._changes: dict[str, list[DataFrame]] | None = None
         self._touched: set[str] = set()
+        self._plus: dict[str, DataFrame | None] = {}
 
     # transactions
     def begin(self) -> None:
@@ -78,8 +82,10 @@ class IncrementalEngine(Engine):
         changes, self._changes = self._changes, None
         first = self.epoch == 0
         self.epoch += 1
+        self._plus = {}
         for key, frames in changes.items():
             names = columns_of(self.program.schema[key])
+            before = self._rows(key)
             all_ = frames[0]
             for f in frames[1:]:
                 all_ = all_.union(f)
@@ -87,6 +93,11 @@ class IncrementalEngine(Engine):
                 all_ = all_.union(self._state[key])
             counts = all_.groupBy(*names).agg(F.sum("diff").alias("diff")).where("diff <> 0")
             self._state[key] = self.scratch.counted(counts)[0]
+            if not first:
+                after = self._rows(key)
+                gone = before is not None and not before.join(after, names, "left_anti").isEmpty()
+                # None: rows went, so what depends on this is evaluated again
+                self._plus[key] = None if gone else self.scratch.counted(after if before is None else after.join(before, names, "left_anti"))[0]
         self._touched = set(self.program.relations) if first else set(changes)
         self._store = self.evaluate(self._rows)
         out: dict = {}
@@ -94,8 +105,10 @@ class IncrementalEngine(Engine):
             r = self.program.relations[key]
             new = self._store[key]
             names = columns_of(self.program.schema[key])
-            if self._touched and not first and key not in self._touched:
+            if not first and key not in self._touched:
                 delta, new = self.rules.empty(key).withColumn("diff", F.lit(1)), self._out[key]
+            elif not first and self._plus.get(key) is not None:
+                delta = self._plus[key].withColumn("diff", F.lit(1))
             else:
                 new = self.scratch.counted(new)[0]
                 old = self._out.get(key, self.rules.empty(key))
@@ -146,28 +159,44 @@ class IncrementalEngine(Engine):
         """Only strata that depend on a changed relation are evaluated again."""
         if not self._store:
             return super().evaluate(base or self._rows)
-        touched = set(self._touched)
         strata, kept = self.program.strata, dict(self._store)
+        # what became of each relation: "plus" if it can only have gained rows, "full" if it must be derived anew
+        status = {k: "full" if p is None else "plus" for k, p in self._plus.items()}
+        while True:
+            before = dict(status)
+            for s in strata:
+                reads = {p.rel for r in s.rules for p in r.body if isinstance(p, Atom)}
+                known = {status.get(x) for x in reads | set(s.heads)} - {None}
+                if not known:
+                    continue
+                negated = any(isinstance(p, Atom) and p.negated and p.rel in status for r in s.rules for p in r.body)
+                full = "full" in known or negated or s.loop is not None or any(aggregate_of(r) for r in s.rules)
+                for h in s.heads:
+                    status[h] = "full" if full else status.get(h, "plus")
+            if status == before:
+                break
+        for rel, how in status.items():
+            if rel in kept and how == "full":
+                rows = (base or self._rows)(rel)
+                kept.pop(f"+{rel}", None)
+                if rows is not None:
+                    kept[f"+{rel}"] = rows
+                kept[rel] = rows if rows is not None else self.rules.empty(rel)
+            elif rel in kept and self._plus.get(rel) is not None:  # the old rows, and those that came
+                kept[rel] = kept[f"+{rel}"] = kept[rel].union(self._plus[rel]).distinct()
+        plus = {k: p for k, p in self._plus.items() if p is not None and status[k] == "plus"}
         for s in strata:
-            if any(r.head.rel in touched or any(isinstance(p, Atom) and p.rel in touched for p in r.body) for r in s.rules):
-                touched |= set(s.heads)
-        # relations derived in several strata are derived again from their base on
-        again = [s for s in strata if set(s.heads) & touched]
-        for rel in {r.head.rel for s in again for r in s.rules} | {k for k in touched if k in kept}:
-            rows = (base or self._rows)(rel)
-            kept.pop(f"+{rel}", None)
-            if rows is not None:
-                kept[f"+{rel}"] = rows
-            kept[rel] = rows if rows is not None else self.rules.empty(rel)
-        self.program.strata = again
-        try:
-            for s in again:
+            if any(status.get(h) == "full" for h in s.heads):
                 new = self.fixpoint.loop(s, kept) if s.loop is not None else self.fixpoint.run(s, kept) if s.recursive else self.fixpoint.once(s, kept)
-                for rel, df in new.items():
-                    kept[rel] = kept[f"+{rel}"] = df
-        finally:
-            self.program.strata = strata
-        self._touched = touched
+            elif any(h in status for h in s.heads):
+                new, gained = self.fixpoint.extend(s, kept, plus)
+                plus |= gained
+            else:
+                continue
+            for rel, df in new.items():
+                kept[rel] = kept[f"+{rel}"] = df
+        self._plus = {k: plus.get(k) for k in status}
+        self._touched = set(status)
         return kept
 
     def write_delta(self, folder: str, delta: dict) -> None:
