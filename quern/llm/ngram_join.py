@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components, forest
@@ -40,8 +40,11 @@ FREQUENT = (16, 1024)
 SMALL = 64
 #: Tokens by which prefixes of rare tokens are longer than needed; pairs must then share more of them.
 SLACK = 4
-FLUSH_DOCS, FLUSH_CODES = 8192, 1 << 21
-BLOCK = 512
+FLUSH_DOCS, FLUSH_CODES, FLUSH_PAIRS = 8192, 1 << 20, 1 << 19
+LEAST_LEVEL = 4
+BLOCK, ASKING = 1024, 1024
+#: Documents of large buckets that each other document of theirs is compared with first.
+LEADERS = 4
 
 _GROUP = splitmix(64, 37)
 #: An index entry: 48 bits of the signature (the highest tells combinations from single tokens; the shard
@@ -142,19 +145,23 @@ def _classes(spark: SparkSession, counts: DataFrame, bits: int, limits: tuple[in
 
 
 def signatures(s: np.ndarray, often: np.ndarray, very: np.ndarray, percent: int = PERCENT, slack: int = SLACK) -> tuple[np.ndarray, int, np.ndarray]:
-    """(rare tokens indexed, how many, hashes of combinations) of a sorted set."""
+    """(tokens indexed singly, how many rare ones its prefix has, hashes of combinations) of a sorted set."""
     n = len(s)
     need = n - overlap(n, percent) + 1
     at = (s.astype(np.uint32) % np.uint32(len(often))).astype(np.int64)
     common = often[at]
     larger = n * 100 // percent
+    # two sets meet at the level of the larger one; below LEAST_LEVEL sets are too small for combinations
     levels = sorted({n.bit_length() - 1, larger.bit_length() - 1})
-    if levels[0] < 4:  # too small for combinations at one of its levels: singles at all of them
-        common = np.zeros(n, bool)
+    plain = s[: need + slack]
+    if levels[-1] < LEAST_LEVEL:
+        return plain, len(plain), np.zeros(0, np.uint64)
+    mixed = levels[0] < LEAST_LEVEL
+    levels = [x for x in levels if x >= LEAST_LEVEL]
     rare = s[~common]
     singles = rare[: need + slack]
     if len(singles) >= need:
-        return singles, len(singles), np.zeros(0, np.uint64)
+        return (np.union1d(singles, plain), 0, np.zeros(0, np.uint64)) if mixed else (singles, len(singles), np.zeros(0, np.uint64))
     s, three = s[common], very[at[common]]
     s = np.concatenate([s[~three], s[three]])
     two = int((~three).sum())
@@ -178,7 +185,7 @@ def signatures(s: np.ndarray, often: np.ndarray, very: np.ndarray, percent: int
         for g, own in members.items():
             for c in combinations(own, 2 if g < most[0] else 3):
                 found.add(hash((level, g, *c)) & 0xFFFFFFFFFFFFFFFF)
-    return rare, len(rare), mix64(np.fromiter(found, np.uint64, len(found)))
+    return np.union1d(rare, plain) if mixed else rare, 0 if mixed else len(rare), mix64(np.fromiter(found, np.uint64, len(found)))
 
 
 def _index(k: int, percent: int, shards: int, maps, slack: int):
@@ -251,23 +258,23 @@ def _meet(percent: int, small: int):
         size = 0
 
         def pairs() -> Iterator[dict]:
-            key, times = np.unique(np.concatenate(held), axis=0, return_counts=True) if held else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-            if len(key):
-                u, v = key[:, 0], key[:, 1]
-                yield {"a": cls[u], "b": cls[v], "na": n[u], "nb": n[v], "ra": r[u], "rb": r[v], "rare": np.where(key[:, 2] == 0, times, 0), "bucket": pa.nulls(len(u), pa.int64())}
+            if held:  # a pair and whether a combination or a token was shared, in one number
+                key, times = np.unique(np.concatenate(held), return_counts=True)
+                u, v, combined = key >> 32, (key >> 1) & 0x7FFFFFFF, key & 1
+                yield {"a": cls[u], "b": cls[v], "na": n[u], "nb": n[v], "ra": r[u], "rb": r[v], "rare": np.where(combined == 0, times, 0), "bucket": pa.nulls(len(u), pa.int64())}
 
         for c in np.unique(count[(count > 1) & (count <= small)]).tolist():
             heads = head[count == c]
             i, j = np.triu_indices(c, 1)
-            step = max(1, (1 << 20) // len(i))
+            step = max(1, FLUSH_PAIRS // len(i))
             for k in range(0, len(heads), step):
                 at = heads[k : k + step, None]
                 u, v = own[at + i].ravel(), own[at + j].ravel()
                 combined = np.broadcast_to(sig[at] >> np.uint64(63), (len(at), len(i))).ravel().astype(np.int64)
                 ok = np.minimum(n[u], n[v]) * 100 >= percent * np.maximum(n[u], n[v])
-                held.append(np.stack([u[ok], v[ok], combined[ok]], axis=1))
+                held.append(u[ok] << 32 | v[ok] << 1 | combined[ok])
                 size += int(ok.sum())
-                if size >= 1 << 21:
+                if size >= FLUSH_PAIRS:
                     yield from pairs()
                     held, size = [], 0
         yield from pairs()
@@ -352,9 +359,9 @@ def _block(percent: int):
         often = np.bincount(local, minlength=len(tokens)) > 1
         number = np.cumsum(often) - 1
         row, local = row[often[local]], number[local[often[local]]]
-        for first in range(0, int(often.sum()), 4096):  # a slice of the vocabulary at a time
-            part = (local >= first) & (local < first + 4096)
-            dense = np.zeros((len(sets), min(4096, int(often.sum()) - first)), np.float32)
+        for first in range(0, int(often.sum()), 2048):  # a slice of the vocabulary at a time
+            part = (local >= first) & (local < first + 2048)
+            dense = np.zeros((len(sets), min(2048, int(often.sum()) - first)), np.float32)
             dense[row[part], local[part] - first] = 1
             shared += dense[left] @ dense[right].T
         hold = (100 * shared >= percent * (size[left][:, None] + size[right][None] - shared)) & (comp[left][:, None] != comp[right][None])
@@ -395,14 +402,15 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     """(profile, edges): a row (doc_id, n, cls) per document, and links between classes of equal sets that connect every component."""
     spark = docs.sparkSession
     small_batches(spark)
-    shards = partitions(spark)
+    tasks = partitions(spark)
+    shards = 4 * tasks  # several to a task, so that tasks are of like size
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = scratch.table(map_arrow(docs, _profile(k, percent, shards), "doc_id long, n int, cls long, shard int, counts binary"), "profile")
     profile = both.filter("shard is null").select("doc_id", "n", "cls")
-    counts = both.filter("shard is not null").select("shard", "counts").repartition(shards, "shard")
+    counts = both.filter("shard is not null").select("shard", "counts").repartition(tasks, "shard")
     maps = spark.sparkContext.broadcast(_classes(spark, counts, class_bits, frequent))
     index = map_arrow(docs, _index(k, percent, shards, maps, slack), "shard int, entries binary")
-    met = map_arrow(index.repartition(shards, "shard").drop("shard"), _meet(percent, small), "a long, b long, na long, nb long, ra long, rb long, rare long, bucket long")
+    met = map_arrow(index.repartition(tasks, "shard").drop("shard"), _meet(percent, small), "a long, b long, na long, nb long, ra long, rb long, rare long, bucket long")
     met = scratch.table(met, "met")
     pairs = met.filter("bucket is null").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("na", "nb", "ra", "rb")], F.sum("rare").alias("rare"))
     # of the prefix that ends first, the rare tokens that the other set lacks must not exceed what a similar pair can lose:
@@ -411,8 +419,14 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     fits = lambda n, r: (F.col(r) == 0) | (F.col(r) - F.ceil(F.col(n) * percent / F.lit(100)) + enough <= F.col("rare"))
     pairs = pairs.filter(fits("na", "ra") | fits("nb", "rb")).select("a", "b")
     large = met.filter("bucket is not null").select("bucket", F.col("a").alias("cls"))
-    heads = large.groupBy("bucket").agg(F.min("cls").alias("a"))
-    stars = large.join(heads, "bucket").filter("a != cls").select("a", F.col("cls").alias("b"))
+    # large buckets with the same smallest hash of a member (a min-hash) are mostly alike: together they are one bucket, all
+    # of whose members have met that member, and a document is in few of them
+    lows = large.groupBy("bucket").agg(F.min(F.xxhash64("cls")).alias("low"))
+    large = scratch.table(large.join(lows, "bucket").select(F.col("low").alias("bucket"), "cls").distinct(), "large")
+    spread = F.pmod(F.xxhash64("cls"), F.lit(LEADERS))
+    heads = large.groupBy("bucket").agg(F.array_compact(F.array(*[F.min(F.when(spread == i, F.col("cls"))) for i in range(LEADERS)])).alias("leaders"))
+    stars = large.join(heads, "bucket").select("cls", F.explode("leaders").alias("lead")).filter("cls != lead").distinct()
+    stars = stars.withColumn("rank", F.row_number().over(Window.partitionBy("cls").orderBy("lead"))).filter(F.col("rank") <= LEADERS).select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
     pairs = scratch.table(pairs.union(stars).distinct(), "pairs")
     sets = _sets_of(docs, profile, pairs.select(F.explode(F.array("a", "b")).alias("cls")), k, scratch, "sets")
     # a class with many partners is dealt over several tasks by salt
@@ -420,7 +434,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     salted = pairs.join(wide, "a").select("a", F.pmod(F.hash("b"), F.col("salts") + 1).alias("salt"), "b")
     partners = salted.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "tokens")
     own = wide.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.lit(None).cast("long").alias("b"), "tokens")
-    dealt = own.union(partners).repartition(shards, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = own.union(partners).repartition(tasks, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     edges = scratch.table(map_arrow(dealt, _verify(percent), "a long, b long"), "edges")
     if large.isEmpty():
         return profile, edges
@@ -431,14 +445,16 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     members = scratch.table(members, "members")
     of = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     open_ = of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-    open_ = scratch.table(open_.select("bucket", F.col("top.comp").alias("most"), ((F.col("size") + BLOCK - 1) / BLOCK).cast("int").alias("blocks")), "open")
+    open_ = scratch.table(open_.select("bucket", F.col("top.comp").alias("most"), ((F.col("size") + BLOCK - 1) / BLOCK).cast("int").alias("blocks"), ((F.col("size") - F.col("top.n") + ASKING - 1) / ASKING).cast("int").alias("parts")), "open")
     if open_.isEmpty():
         return profile, edges
-    members = members.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
+    members = members.join(open_, "bucket")
+    part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sets = _sets_of(docs, profile, members.select("cls"), k, scratch, "block_sets")
-    asked = members.filter("comp != most").select("bucket", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
-    cells = members.select("bucket", "cls", "comp", "block", F.lit(1).alias("side")).union(asked)
-    more = cells.join(sets, "cls").groupBy("bucket", "block").applyInArrow(_block(percent), "a long, b long")
+    asked = members.filter("comp != most").select("bucket", "cls", "comp", every("blocks").alias("block"), part("parts").alias("part"), F.lit(0).alias("side"))
+    cells = members.select("bucket", "cls", "comp", part("blocks").alias("block"), every("parts").alias("part"), F.lit(1).alias("side")).union(asked)
+    more = cells.join(sets, "cls").groupBy("bucket", "block", "part").applyInArrow(_block(percent), "a long, b long")
     return profile, scratch.table(edges.union(more), "all_edges")
 
 
