@@ -36,8 +36,8 @@ CAPACITY, END_ID = 2048, 0
 NEARLY = 8
 FAN_IN, CARRY = 8, 4096
 FLUSH_PIECES = 1 << 19
-#: Words that one worker remembers the ids of.
-MEMORY = 1_000_000
+#: Words that one worker remembers the ids of: the first that come again, so the frequent ones.
+MEMORY = 300_000
 
 
 def _class(first: str, below: int = 0x250) -> str:
@@ -62,9 +62,6 @@ class Encoder:
         self.newline = self._ids("\n")
         self.split = len(self.newline) == 1 and self._ids("a\n b\nc") == self._ids("a") + self.newline + self._ids(" b") + self.newline + self._ids("c")
         self.seen = np.zeros(1 << 22, bool)
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -122,15 +119,15 @@ class Encoder:
         place = np.fromiter(map(hash, names), np.int64, len(names)) & (len(self.seen) - 1)
         again = np.flatnonzero(self.seen[place])
         self.seen[place] = True
-        if len(self.known) + len(again) > MEMORY:
-            self._clear()
+        again = again[: max(0, MEMORY - len(self.known))]
+        if not len(again):
             return
         n = len(self.start) - 1
         sizes = start[n + again + 1] - start[n + again]
         ends = np.cumsum(sizes)
         own = ids[np.arange(int(sizes.sum())) + np.repeat(start[n + again] - (ends - sizes), sizes)]
         self.known.update((names[i], n + j) for j, i in enumerate(again.tolist()))
-        self.start, self.ids = np.concatenate([self.start, self.start[-1] + ends]) if len(again) else self.start, np.concatenate([self.ids, own])
+        self.start, self.ids = np.concatenate([self.start, self.start[-1] + ends]), np.concatenate([self.ids, own])
 
 
 _encoders: dict[str, Encoder] = {}

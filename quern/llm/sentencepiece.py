@@ -34,6 +34,7 @@ MARK = "▁"
 #: Types of pieces, and of models, in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Parts that one worker remembers the ids of: the first that come again, so the frequent ones.
 MEMORY = 500_000
 
 
@@ -143,9 +144,6 @@ class Backend:
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.marked = np.array([t in (NORMAL, USER) and p.startswith(MARK) for p, _, t in self.model.pieces])
         self.seen = np.zeros(1 << 22, bool)
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -194,9 +192,8 @@ class Backend:
         place = np.fromiter(map(hash, names), np.int64, len(names)) & (len(self.seen) - 1)
         again = np.flatnonzero(self.seen[place])
         self.seen[place] = True
-        if len(self.known) + len(again) > MEMORY:
-            self._clear()
-        elif len(again):
+        again = again[: max(0, MEMORY - len(self.known))]
+        if len(again):
             n = len(self.start) - 1
             sizes = start[n + again + 1] - start[n + again]
             ends = np.cumsum(sizes)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 IS_WS = np.zeros(256, bool)
 IS_WS[[0x20, *range(0x09, 0x0E)]] = True
