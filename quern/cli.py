@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .engine import Engine
+from .report import page, write_json
 from .streaming.incremental import IncrementalEngine
 from .streaming.repl import run_script
 
@@ -34,6 +35,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--udf-file", help="Python file with the external functions")
     p.add_argument("--sip", action="store_true", help="reduce joins by sweeps of semi joins")
     p.add_argument("--max-rounds", type=int, default=65535)
+    p.add_argument("--profile", help="write strata and rounds to this JSON file, and a page beside it")
     p.add_argument("--explain", action="store_true", help="print strata and rounds")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("quern").getOrCreate()
@@ -59,6 +61,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(engine.run())
     else:
         engine.write(a.output)
+    if a.profile:
+        write_json(engine, a.profile)
+        Path(a.profile).with_suffix(".html").write_text(page(engine))
     if a.explain:
         print(engine.explain())
     return 0

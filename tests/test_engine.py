@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -182,3 +183,10 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got == [[(1, 2, 1), (1, 3, 1), (2, 3, 1)]]
+
+
+def test_profile(spark, tmp_path):
+    (tmp_path / "p.dl").write_text(TC + "E(1, 2).\nE(2, 1).\n")
+    assert main([str(tmp_path / "p.dl"), "-D", f"file://{tmp_path}/out", "--profile", str(tmp_path / "x.json"), "--explain"], spark) == 0
+    told = json.loads((tmp_path / "x.json").read_text())
+    assert [s["kind"] for s in told["strata"]].count("recursive") == 1 and told["rounds"] and "Stratum 0" in (tmp_path / "x.html").read_text()
