@@ -127,7 +127,9 @@ class Fixpoint:
                 parts[rel].append((df, name))
                 if len(parts[rel]) > PARTS:
                     merged, _, merged_name = self.scratch.counted(self._whole(rel, parts[rel][:-1], aggregates[rel]))
+                    gone = [x for _, x in parts[rel][:-1]]
                     parts[rel] = [(merged, merged_name), (df, name)]
+                    self.scratch.drop(*gone)  # all of this round's tables are written
                 old[rel] = union([x for x, _ in parts[rel][:-1]]) if len(parts[rel]) > 1 else now[rel]
                 delta[rel] = (df, n)
                 self.report(relation=rel, round=round_, rows=n, seconds=round(time.time() - began, 3))

@@ -84,6 +84,17 @@ def test_closures_agree(spark, rule):
     assert run(spark, text, "R", E=edges) == sorted(closure(edges), key=repr)
 
 
+def test_long_chains(spark):
+    """More rounds than a relation has parts, plain and aggregated."""
+    edges = [(i, i + 1) for i in range(12)]
+    text = ".decl E(a: int32, b: int32)\n.decl Out(a: int32)\n.decl D(a: int32, d: int32)\n.output Out\n.output D\nOut(0).\nOut(b) :- Out(a), E(a, b).\nD(0, min(0)) :- E(0, _).\nD(b, min(d + 2)) :- D(a, d), E(a, b).\nD(b, min(d + 1)) :- D(a, d), E(a, c), E(c, b)."
+    assert run(spark, text, E=edges) == sorted([(i,) for i in range(13)], key=repr)
+    want = {0: 0}
+    for i in range(1, 13):
+        want[i] = min(want[i - 1] + 2, want[i - 2] + 1) if i > 1 else 2
+    assert run(spark, text, "D", E=edges) == sorted(want.items(), key=repr)
+
+
 def test_divergence(spark):
     e = Engine(spark, ".decl N(n: int32)\n.output N\nN(0).\nN(n + 1) :- N(n).", max_rounds=4)
     with pytest.raises(DivergenceProblem):
