@@ -120,7 +120,7 @@ class Engine:
         return v
 
     def base(self, key: str) -> DataFrame | None:
-        """Rows that a relation has before any rule."""
+        """Rows that a relation has before any rule. They may repeat: rules give distinct heads, so only outputs need a set."""
         r, parts = self.program.relations[key], []
         if key in self._bound:
             parts.append(self._bound[key])
@@ -130,13 +130,13 @@ class Engine:
             parts.append(read_delimited(self.spark, path, self.program.schema[key], r.input.get("delimiter", "\t"), r.input.get("header", "false").lower() == "true"))
         if key in self.program.facts:
             parts.append(self.frame(key, self.program.facts[key]))
-        return union(parts).distinct() if parts else None
+        return union(parts) if parts else None
 
     # evaluation
     def _uses(self) -> Counter:
         uses = Counter(p.rel for s in self.program.strata for r in s.rules for p in r.body if isinstance(p, Atom))
-        for s in self.program.strata:  # a recursion reads what it needs every round
-            if s.recursive:
+        for s in self.program.strata:  # a naive loop reads what it needs every round
+            if s.loop is not None:
                 uses.update({p.rel: 8 for r in s.rules for p in r.body if isinstance(p, Atom)})
         uses.update(self.wanted)
         return uses
@@ -171,10 +171,14 @@ class Engine:
         attrs = [n for n, _ in self.program.relations[key].attrs]
         return df.toDF(*attrs) if attrs else df
 
+    def whole(self, key: str, store: dict[str, DataFrame]) -> DataFrame:
+        """A relation's frame as a set."""
+        return store[key] if key in self.program.derived else store[key].distinct()
+
     def output(self, key: str, store: dict[str, DataFrame]) -> DataFrame:
         r = self.program.relations[key]
         spec = r.output or {}
-        return ordered(store[key], spec.get("order_by"), spec.get("limit"), [n for n, _ in r.attrs])
+        return ordered(self.whole(key, store), spec.get("order_by"), spec.get("limit"), [n for n, _ in r.attrs])
 
     def run(self) -> dict[str, DataFrame | int | bool]:
         """Outputs by name: DataFrames; a bool for nullary relations; a count for .printsize."""
@@ -183,7 +187,7 @@ class Engine:
         for key in self.wanted:
             r = self.program.relations[key]
             if r.printsize:
-                out[r.name] = store[key].count()
+                out[r.name] = self.whole(key, store).count()
             elif not r.attrs:
                 out[r.name] = not store[key].isEmpty()
             else:
@@ -203,7 +207,7 @@ class Engine:
             spec = r.output or {}
             path = f"{folder}/{spec.get('filename', f'{r.name}.csv')}"
             if r.printsize:
-                lines = self.spark.createDataFrame([(str(store[key].count()),)], "value string")
+                lines = self.spark.createDataFrame([(str(self.whole(key, store).count()),)], "value string")
             else:
                 lines = lines_of(self.output(key, store), self.program.schema[key], spec.get("delimiter", "\t"))
             write_lines(lines, path)

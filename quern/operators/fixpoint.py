@@ -77,9 +77,9 @@ class Fixpoint:
         rules, heads = self.rules, stratum.heads
         aggregates = {rel: next((a for r in stratum.rules if r.head.rel == rel and (a := aggregate_of(r))), None) for rel in heads}
         recursive = [(r, [i for i, p in enumerate(r.body) if isinstance(p, Atom) and p.rel in heads]) for r in stratum.rules]
-        # what doesn't change in the loop is kept
-        fixed = {p.rel for r in stratum.rules for p in r.body if isinstance(p, Atom) and p.rel not in heads}
-        invariant = {rel: store[rel].persist() if not store[rel].is_cached else store[rel] for rel in fixed}
+        invariant = {p.rel: store[p.rel] for r in stratum.rules for p in r.body if isinstance(p, Atom) and p.rel not in heads}
+        # what doesn't change in the loop is kept, as filtered and pruned as the rules use it; a lost part is computed again
+        kept = [df.persist() for r, at in recursive if at for df in rules.fixed(r, invariant, set(heads)) if not df.is_cached]
         given = parts is not None
         parts, delta = parts or {}, delta or {}
         for rel in [] if given else heads:
@@ -93,6 +93,8 @@ class Fixpoint:
         old: dict[str, DataFrame | None] = dict.fromkeys(heads)
         for round_ in range(1, self.limit + 2):
             if not any(n for _, n in delta.values()):
+                for df in kept:
+                    df.unpersist()
                 return {rel: self._whole(rel, parts[rel], aggregates[rel]) for rel in heads}
             began = time.time()
             now = {rel: self._whole(rel, parts[rel], aggregates[rel]) for rel in heads}

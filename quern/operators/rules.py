@@ -57,9 +57,17 @@ class Rules:
         out = frame.select(*[F.col(c).alias(names[v]) for v, c in keep.items()]) if keep else frame.select(F.lit(True).alias(UNIT))
         return out, list(keep)
 
+    @staticmethod
+    def _names(rule: Rule) -> dict[str, str]:
+        return {v: f"v{i}" for i, v in enumerate(dict.fromkeys(v for p in rule.body for v in variables(p)))}
+
+    def fixed(self, rule: Rule, store: dict[str, DataFrame], changing: set[str]) -> list[DataFrame]:
+        """The filtered and pruned frames of the atoms that don't change in a loop, as `bindings` makes them."""
+        return [self._plain(p, store[p.rel], self._names(rule))[0] for p in rule.body if isinstance(p, Atom) and p.rel not in changing]
+
     def bindings(self, rule: Rule, frame: Callable[[int, str], DataFrame]) -> tuple[DataFrame, Columns]:
         """The rule's body. frame: of the i-th body predicate, an atom of a relation."""
-        names = {v: f"v{i}" for i, v in enumerate(dict.fromkeys(v for p in rule.body for v in variables(p)))}
+        names = self._names(rule)
         cols = Columns(lambda v: F.col(names[v]), self.functions)
         atoms = [(i, p) for i, p in enumerate(rule.body) if isinstance(p, Atom) and not p.negated]
         if rule.plan:
