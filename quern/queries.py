@@ -125,11 +125,11 @@ def _udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, rules, functions={"half": on_columns(lambda x: F.floor(x / 2)), "odd": on_columns(lambda x: x % 2 == 1)}).query("Out")
 
 
-def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of reachability when edges of one customer go and others come."""
+def _changes(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Changes of reachability when edges of some customers go and others come; which: the orders that are edges."""
     rules = ".decl Edge(a: int64, b: int64)\n.decl Out(c: int64)\n.output Out\nOut(b) :- Edge(1, b).\nOut(b) :- Out(a), Edge(a, b)."
     e = IncrementalEngine(spark, rules)
-    edges = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F' and o_custkey < 200").select(F.col("o_custkey").alias("c0"), F.floor(F.col("o_orderkey") / 100).alias("c1")).distinct()
+    edges = spark.read.parquet(f"{sf_dir}/orders.parquet").where(which).select(F.col("o_custkey").alias("c0"), F.floor(F.col("o_orderkey") / 100).alias("c1")).distinct()
     e.begin()
     e.change("Edge", edges)
     e.commit()
@@ -139,6 +139,16 @@ def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.commit()["Out"]
 
 
+def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the customers below 200."""
+    return _changes(spark, sf_dir, "o_orderstatus = 'F' and o_custkey < 200")
+
+
+def _delta_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all customers."""
+    return _changes(spark, sf_dir, "o_orderstatus = 'F'")
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A relation written as delimited text and read back."""
     folder = tempfile.mkdtemp(prefix="quern-files-")
@@ -150,12 +160,15 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "k int, name string")
 
 
-QUERIES |= {"d1_udf": _udf, "i4_delta_insert_delete": _delta, "s1_k1_files": _files}
+QUERIES |= {"d1_udf": _udf, "i4_delta_insert_delete": _delta, "i4_delta_whole": _delta_whole, "s1_k1_files": _files}
 _EDGES = "SELECT DISTINCT o_custkey AS a, o_orderkey // 100 AS b FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 200"
 ORACLES |= {
     "d1_udf": "SELECT s_suppkey AS k, s_suppkey // 2 + 1 AS h FROM supplier WHERE s_suppkey % 2 = 1",
     "i4_delta_insert_delete": f"""WITH RECURSIVE e AS ({_EDGES}), f AS (SELECT a, b FROM e WHERE NOT (a % 3 = 1 AND a <> 1) UNION SELECT a, a + 100000 FROM e WHERE a % 5 = 2),
         r AS (SELECT b AS c FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON r.c = e.a), q AS (SELECT b AS c FROM f WHERE a = 1 UNION SELECT f.b FROM q JOIN f ON q.c = f.a)
         SELECT c, 1::INTEGER AS diff FROM q WHERE c NOT IN (SELECT c FROM r) UNION ALL SELECT c, -1 FROM r WHERE c NOT IN (SELECT c FROM q)""",
+    "i4_delta_whole": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey // 100 AS b FROM orders WHERE o_orderstatus = 'F'), f AS (SELECT a, b FROM e WHERE NOT (a % 3 = 1 AND a <> 1) UNION SELECT a, a + 100000 FROM e WHERE a % 5 = 2),
+        r AS (SELECT b AS c FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON r.c = e.a), q AS (SELECT b AS c FROM f WHERE a = 1 UNION SELECT f.b FROM q JOIN f ON q.c = f.a)
+        SELECT c, 1::INTEGER AS diff FROM q WHERE c NOT IN (SELECT c FROM r) UNION ALL SELECT c, -1 FROM r WHERE c NOT IN (SELECT c FROM q)""",
     "s1_k1_files": "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey > 1",
 }
