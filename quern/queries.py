@@ -60,6 +60,7 @@ _add("p13_const_head", '.decl Out(k: int32, tag: string, n: int32)\n.output Out\
 # joins
 _add("j1_join3", '.decl Out(c: int64, n: string, r: string)\n.output Out\nOut(c, n, r) :- Customer(c, _, k, _, "BUILDING"), Nation(k, n, rk), Region(rk, r).', "SELECT DISTINCT c_custkey AS c, n_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'")
 _add("j2_self_join", ".decl Out(p: int64, a: int64, b: int64)\n.output Out\nOut(p, a, b) :- Line(_, p, a, _), Line(_, p, b, _), a < b, b < 20.", "SELECT DISTINCT x.l_partkey AS p, x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey WHERE x.l_suppkey < y.l_suppkey AND y.l_suppkey < 20")
+_add("j2_self_join_whole", ".decl Out(p: int64, a: int64, b: int64)\n.output Out\nOut(p, a, b) :- Line(_, p, a, _), Line(_, p, b, _), a < b.", "SELECT DISTINCT x.l_partkey AS p, x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey WHERE x.l_suppkey < y.l_suppkey")
 _add("j3_plan_sip", ".decl Out(c: int64, s: int64)\n.output Out\nOut(c, s) :- Orders(o, c, \"F\", _, \"2-HIGH\"), Line(o, _, s, 1), Supplier(s, n, _), Customer(c, _, n, _, _). .plan (3, 2, 1, 4)", "SELECT DISTINCT o_custkey AS c, s_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey AND c_nationkey = s_nationkey WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' AND l_linenumber = 1", sip=True)
 _add("j4_semijoin", ".decl Out(c: int64)\n.output Out\nOut(c) :- Customer(c, _, _, _, _), Orders(_, c, _, _, _).", "SELECT DISTINCT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 _add("j5_antijoin", ".decl Big(o: int64)\n.decl Out(o: int64, c: int64)\n.output Out\nBig(o) :- Line(o, _, _, n), n >= 6.\nOut(o, c) :- Orders(o, c, _, _, _), !Big(o).", "SELECT DISTINCT o_orderkey AS o, o_custkey AS c FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber >= 6)")
