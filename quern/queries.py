@@ -118,6 +118,7 @@ _add("r6_loop_bounded", GRAPH + ".decl Out(c: int64)\n.output Out\nOut(b) :- Edg
 _add("r7_loop_until", ".decl Num(n: int64)\n.decl Done()\n.decl Out(n: int64)\n.output Out\nNum(k) :- Supplier(k, _, _).\nOut(0) :- Num(0).\nloop until { Done } { Out(n + 1) :- Out(n), Num(n). Done() :- Out(20). }", "SELECT unnest(range(0, least(22, (SELECT count(*) + 1 FROM supplier)))) AS n")
 _add("r8_loop_or", ".decl Num(n: int64)\n.decl Done()\n.decl Out(n: int64)\n.output Out\nNum(k) :- Supplier(k, _, _).\nOut(0) :- Num(0).\nloop while { @it <= 3 } or until { Done } { Out(n + 1) :- Out(n), Num(n). Done() :- Out(6). }", "SELECT unnest(range(0, least(8, (SELECT count(*) + 1 FROM supplier)))) AS n")
 _add("r9_iterative", ".decl Val(n: int64)\n.decl Out(n: int64)\n.output Out\nVal(k) :- Supplier(k, _, _), k < 3.\nloop while { @it <= 4 } { .iterative Val\n Val(n * 2) :- Val(n). }\nOut(n) :- Val(n).", "SELECT s_suppkey * 32 AS n FROM supplier WHERE s_suppkey < 3")
+_add("r9_iterative_whole", ".decl Val(n: int64)\n.decl Out(n: int64)\n.output Out\nVal(k) :- Supplier(k, _, _).\nloop while { @it <= 4 } { .iterative Val\n Val(n * 2) :- Val(n). }\nOut(n) :- Val(n).", "SELECT DISTINCT s_suppkey * 32 AS n FROM supplier")
 
 
 # functions and increments
