@@ -55,6 +55,7 @@ _add("p7_compare", ".decl Out(k: int64, bal: f64)\n.output Out\nOut(k, b) :- Cus
 _add("p8_match", '.decl Out(k: int64)\n.output Out\nOut(k) :- Part(k, n, _, t, _), match("s.*ring|.*(bolt|nut)", n), !match("ECO.*", t).', "SELECT DISTINCT p_partkey AS k FROM part WHERE regexp_full_match(p_name, 's.*ring|.*(bolt|nut)') AND NOT regexp_full_match(p_type, 'ECO.*')")
 _add("p9_contains", '.decl Out(k: int64, name: string)\n.output Out\nOut(k, n) :- Part(k, n, b, _, _), contains("in", n), !contains("#2", b).', "SELECT DISTINCT p_partkey AS k, p_name AS name FROM part WHERE contains(p_name, 'in') AND NOT contains(p_brand, '#2')")
 _add("p11_assignment", ".decl Out(k: int64, v: int64)\n.output Out\nOut(k, v) :- Line(o, k, _, _), h = o % 100, v = h * 2 + 1, h > 97.", "SELECT DISTINCT l_partkey AS k, (l_orderkey % 100) * 2 + 1 AS v FROM lineitem WHERE l_orderkey % 100 > 97")
+_add("p11_assignment_whole", ".decl Out(k: int64, v: int64)\n.output Out\nOut(k, v) :- Line(o, k, _, _), h = o % 100, v = h * 2 + 1.", "SELECT DISTINCT l_partkey AS k, (l_orderkey % 100) * 2 + 1 AS v FROM lineitem")
 _add("p13_const_head", '.decl Out(k: int32, tag: string, n: int32)\n.output Out\nOut(k, "x", 7) :- Region(k, _).', "SELECT r_regionkey AS k, 'x' AS tag, 7::INTEGER AS n FROM region")
 
 # joins
