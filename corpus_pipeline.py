@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm import language_id, line_dedup, ngram_join, packing, quality
 from quern.llm.shared import Scratch
 
-#: A document whose best language scores less, as in a mixture or noise, is rejected; so is one without a letter.
+#: A document whose best language scores less is rejected. Noise and other scripts are und to language_id, as is a text without a letter.
 MIN_LANGUAGE_SCORE = 0.3
 #: Removed documents up to which their ids (8 bytes each) are broadcast; beyond, texts are shuffled to meet them.
 BROADCAST_IDS = 1 << 20

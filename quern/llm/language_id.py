@@ -6,8 +6,13 @@ landmark texts and one-versus-rest kernel ridge regression are fitted on a bound
 rows (per_class rows of each language, LANDMARKS of them as landmarks), in numpy. Whole texts are
 scored in batches by two matrix products.
 
-Defined cases. A null text, or one without a letter, is und with score 0; it is also what every text
-gets if no row has a language to learn from. Rows are judged one by one, so repeated rows are alike.
+The scores say which class is nearest, not whether any is near: they sum to a constant, so the best is
+high for noise as well. Near is a text of which enough places of three bytes are known, that is, held
+by two or more sampled rows of its class. Enough is half of the median over these rows, each judged by
+the others, whatever the number of classes. A class of one or two rows knows nothing and rejects nothing.
+
+Defined cases. A null text, one without a letter, or one not near its class (random letters, another
+script) is und with score 0; it is also what every text gets if no row has a language to learn from. Rows are judged one by one, so repeated rows are alike.
 Further columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,6 +33,8 @@ PER_CLASS, LANDMARKS, RIDGE = 256, 128, 1e-3
 #: Places of n-grams of one, two and three bytes.
 PLACES = (256, 4096, 8192)
 UNKNOWN = "und"
+#: So many places are taken as known of any text, as a few say little.
+SLACK = 8
 _PLAIN = LOWER.copy()
 _PLAIN[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
@@ -59,6 +66,16 @@ def presence(texts: pa.Array) -> Iterator[np.ndarray]:
             yield out
 
 
+def _telling() -> np.ndarray:
+    """Which places of three bytes count: not those of a single letter between what is no letter, which any text holds."""
+    seen = np.unique(_PLAIN).astype(np.uint32)
+    other = np.uint32(32)
+    codes = np.concatenate([(a * np.uint32(256) + b) * np.uint32(256) + c for a, b, c in ((seen, other, other), (other, seen, other), (other, other, seen))])
+    out = np.ones(PLACES[2], np.float32)
+    out[(codes * np.uint32(2654435761)) >> np.uint32(32 - PLACES[2].bit_length() + 1)] = 0
+    return out
+
+
 class KernelModel:
     """Scores = normalised kernel with the landmarks, times weights."""
 
@@ -81,6 +98,19 @@ class KernelModel:
         target = np.where(np.array(labels)[:, None] == np.array(self.classes)[None], 1.0, -1.0)
         weights = np.linalg.solve(mapped.T @ mapped + ridge * len(grams) * np.eye(mapped.shape[1]) / mapped.shape[1], mapped.T @ target)
         self.weights, self.bias = (root @ weights[:-1]).astype(np.float64), weights[-1]
+        threes, of, telling = grams[:, -PLACES[2] :], np.array(labels), _telling()
+        self.known, self.least = np.zeros((PLACES[2], len(self.classes) + 1), np.float32), np.zeros(len(self.classes))
+        self.known[:, -1] = telling
+        for k, c in enumerate(self.classes):
+            own = threes[of == c] * telling
+            held = own.sum(axis=0)
+            self.known[:, k] = held >= 2
+            self.least[k] = np.median((own * (held - own >= 2)).sum(axis=1) / np.maximum(own.sum(axis=1), 1)) / 2
+
+    def near(self, grams: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether texts are near the classes that score best."""
+        held = grams[:, -PLACES[2] :] @ self.known
+        return (held[np.arange(len(grams)), best] + SLACK) / (held[:, -1] + SLACK) >= self.least[best]
 
     def _kernel(self, grams: np.ndarray) -> np.ndarray:
         own = np.sqrt(np.maximum(grams.sum(axis=1, dtype=np.float64), 1))
@@ -128,6 +158,7 @@ def _score(model):
                 else:
                     s = m.scores(grams)
                     best = s.argmax(axis=1)
+                    letters = letters & m.near(grams, best)
                     score = np.where(letters, np.clip((s[np.arange(n), best] + 1) / 2, 0, 1), 0.0)
                     lang = [m.classes[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield {"doc_id": batch.column(0).slice(at, n), "lang_pred": lang, "score": score} | {f"c{i}": batch.column(3 + i).slice(at, n) for i in range(batch.num_columns - 3)}

@@ -215,3 +215,16 @@ def test_attention_gradients():
         down = loss()
         m.p[k][i] = old
         assert abs((up - down) / (2 * e) - g[k][i]) < 1e-4
+
+
+def test_language_id_rejects_noise(spark):
+    """Noise and texts of another script are und, of two languages and of four; held-out clean texts are not."""
+    r = seeded(11)
+    words = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(3, 9))) for _ in range(40))
+    noise = [words("abcdefghijklmnopqrstuvwxyz") for _ in range(20)] + [words("абвгдежзийклмнопрстуфхцчшщыьэюя") for _ in range(20)] + ["".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(80)) for _ in range(20)] + ["".join(r.choices("0123456789abcdef", k=600)) for _ in range(20)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for some in (docs, docs.filter("lang in ('en', 'de')")):
+        model = language_id.fit(some)
+        assert {x.lang_pred for x in language_id.identify(frame(spark, noise), model).collect()} == {"und"}
+        clean = language_id.identify(some.filter(held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")), model).collect()
+        assert len(clean) > 100 and sum(x.lang_pred == "und" for x in clean) == 0
