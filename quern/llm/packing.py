@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences, by hierarchical residual packing.
 
 Every partition tokenizes its documents and packs their pieces best-fit (largest first). Nearly full
-bins are emitted at once. Underfull bins become items of the next round: FAN_IN partitions' bins meet
-in one task and are packed best-fit again, as a tree, until one task is left. A task carries at most
-CARRY bins to the next round (the emptiest); the others are emitted as they are, so that no task
-grows with the input.
+bins are emitted at once. Underfull bins become items of the next round: the bins of FAN_IN groups meet
+in one task and are packed best-fit again, as a tree, until one group is left. A group of less than
+FEWEST items would waste room: they go on as they are. So that no task grows with the input, a group
+carries at most CARRY_BINS bins of at most CARRY_PIECES pieces to the next round, the emptiest. The others, and if there are any the tree's last underfull bins with them, are
+packed by counts: best-fit depends on sizes alone, so it is planned from the number of bins of each of
+the `capacity` sizes, and each bin finds its place in that plan by its rank among those of its size.
 
 A document's tokens are its ids and the end id. Only longer documents are cut, into pieces of
 `capacity` tokens, the first of which may be shorter.
@@ -21,12 +23,14 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, map_arrow, small_batches
@@ -34,8 +38,11 @@ from .shared import Scratch, map_arrow, small_batches
 CAPACITY, END_ID = 2048, 0
 #: A bin with at most this much room left is nearly full.
 NEARLY = 8
-FAN_IN, CARRY = 8, 4096
+FAN_IN, FEWEST, CARRY_BINS, CARRY_PIECES = 8, 1024, 4096, 1 << 16
+#: Pieces that a task packs at a time.
 FLUSH_PIECES = 1 << 19
+#: What becomes of a bin: it is emitted, goes to the next round, or is packed by counts.
+DONE, NEXT, REST = 0, 1, 2
 #: Words that one worker remembers the ids of: the first that come again, so the frequent ones.
 MEMORY = 300_000
 
@@ -47,7 +54,7 @@ def _class(first: str, below: int = 0x250) -> str:
 _L, _N, _S = _class("L"), _class("N"), "\\t-\\r \\x85\\xa0"
 #: The pre-tokenizer's pattern for texts of the characters below U+0250 and a few more; others are left to the library.
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-OTHER = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]|<\\|")
+OTHER = "[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]"
 
 
 class Encoder:
@@ -58,7 +65,9 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: What `WORDS` can't split: other characters, and the strings of added tokens, which are tokens in a text too.
+        self.other = re.compile("|".join([OTHER, *map(re.escape, added)]))
         self.newline = self._ids("\n")
         self.split = len(self.newline) == 1 and self._ids("a\n b\nc") == self._ids("a") + self.newline + self._ids(" b") + self.newline + self._ids("c")
         self.seen = np.zeros(1 << 22, bool)
@@ -83,7 +92,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        odd = {i for i, t in enumerate(texts) if not self.split or OTHER.search(t)}
+        odd = {i for i, t in enumerate(texts) if not self.split or self.other.search(t)}
         words = [[] if i in odd else WORDS.findall(t) for i, t in enumerate(texts)]
         flat = [w for part in words for w in part]
         at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
@@ -165,29 +174,60 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return where, offset, np.array(fills, np.int64)
 
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, part long, open boolean"
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, part long, state int, rank long"
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def _opened(fills: np.ndarray, capacity: int, nearly: int) -> np.ndarray:
-    """Which bins go on to the next round: underfull ones, the emptiest CARRY of them."""
-    under = np.flatnonzero(capacity - fills > nearly)
-    out = np.zeros(len(fills), bool)
-    out[under[np.argsort(fills[under], kind="stable")[:CARRY]]] = True
-    return out
+class Rules(NamedTuple):
+    """Room left in a bin that is nearly full; items of a group that is packed; bins that a group carries on."""
 
+    nearly: int = NEARLY
+    fewest: int = FEWEST
+    carry: int = CARRY_BINS
 
-def _pieces(path: str, capacity: int, nearly: int):
+
+def _group(sizes: np.ndarray, pieces: np.ndarray, capacity: int, rules: Rules, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pack a group's items, each of which holds some pieces: their bins and offsets, and the fills and states of bins."""
+    if len(sizes) < rules.fewest and not last:
+        where, offset, fills = np.arange(len(sizes)), np.zeros(len(sizes), np.int64), sizes
+    else:
+        where, offset, fills = best_fit(sizes, capacity)
+    held = np.bincount(where, pieces)
+    states = np.full(len(fills), DONE)
+    under = np.flatnonzero(capacity - fills > rules.nearly)
+    order = under[np.argsort(fills[under], kind="stable")]
+    carried = (np.arange(len(order)) < rules.carry) & (np.cumsum(held[order]) <= CARRY_PIECES)
+    states[order] = np.where(carried | last, NEXT, REST)
+    return where, offset, fills, states
+
+
+class _Ranks:
+    """Numbers a group's bins that are packed by counts, by fill."""
+
+    def __init__(self, capacity: int):
+        self.next = np.zeros(capacity + 1, np.int64)
+
+    def __call__(self, fills: np.ndarray, states: np.ndarray, every: bool = False) -> np.ndarray:
+        out = np.zeros(len(fills), np.int64)
+        at = np.flatnonzero(states != DONE) if every else np.flatnonzero(states == REST)
+        order = at[np.argsort(fills[at], kind="stable")]
+        sizes, first, n = np.unique(fills[order], return_index=True, return_counts=True)
+        out[order] = np.arange(len(order)) - np.repeat(first, n) + np.repeat(self.next[sizes], n)
+        self.next[sizes] += n
+        return out
+
+
+def _pieces(path: str, capacity: int, rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        tokens, part = encoder(path), TaskContext.get().partitionId()
+        tokens, part, ranks = encoder(path), TaskContext.get().partitionId(), _Ranks(capacity)
         rows: list[tuple] = []
         n_bins = 0
 
         def packed() -> Iterator[dict]:
             nonlocal n_bins
             doc_id, piece, start, length, crc = (list(x) for x in zip(*rows, strict=True))
-            where, offset, fills = best_fit(np.array(length), capacity)
-            open_ = _opened(fills, capacity, nearly)
-            yield {"doc_id": doc_id, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "bin": where + n_bins + (part << 32), "offset": offset, "fill": fills[where], "part": np.full(len(where), part), "open": open_[where]}
+            where, offset, fills, states = _group(np.array(length), np.ones(len(length)), capacity, rules)
+            yield {"doc_id": doc_id, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "bin": where + n_bins + (part << 32), "offset": offset, "fill": fills[where], "part": np.full(len(where), part), "state": states[where], "rank": ranks(fills, states)[where]}
             n_bins += len(fills)
             rows.clear()
 
@@ -210,47 +250,113 @@ def _pieces(path: str, capacity: int, nearly: int):
     return run
 
 
-def _merge(capacity: int, nearly: int, round_: int, last: bool):
-    """Pack the open bins of a partition, whole, as items; rows may come in any order."""
+def _merge(capacity: int, rules: Rules, last: bool):
+    """Pack the bins of each group, whole, as items. A task may get several groups, and rows come in any order; a group's rows fit in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held = list(batches)
         if not sum(b.num_rows for b in held):
             return
-        table = pa.Table.from_batches(held)
-        bins, first, own = np.unique(table["bin"].to_numpy(), return_index=True, return_inverse=True)
-        sizes, parts = table["fill"].to_numpy()[first], table["part"].to_numpy()
-        where, offset, fills = best_fit(sizes, capacity)
-        part = int(parts.min())
-        open_ = np.zeros(len(fills), bool) if last else _opened(fills, capacity, nearly)
-        new = {n: table[n] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        yield new | {"bin": where[own] + (part << 32) + (round_ << 26), "offset": table["offset"].to_numpy() + offset[own], "fill": fills[where][own], "part": parts // FAN_IN, "open": open_[where][own]}
+        every = pa.Table.from_batches(held)
+        groups = every["part"].to_numpy() // FAN_IN
+        order = np.argsort(groups, kind="stable")
+        numbers, first = np.unique(groups[order], return_index=True)
+        for group, at in zip(numbers.tolist(), np.split(order, first[1:]), strict=True):
+            table = every.take(pa.array(at))
+            _, one, own, pieces = np.unique(table["bin"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+            where, offset, fills, states = _group(table["fill"].to_numpy()[one], pieces, capacity, rules, last)
+            ranks = _Ranks(capacity)(fills, states, last)
+            to = where[own]
+            yield {n: table[n] for n in PIECE} | {"bin": to + (group << 32), "offset": table["offset"].to_numpy() + offset[own], "fill": fills[to], "part": np.full(len(own), group), "state": states[to], "rank": ranks[to]}
 
     return run
 
 
-def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, nearly: int = NEARLY) -> DataFrame:
+def plan_by_counts(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit from the number of items of each size: rows (size, first rank, items, first bin, items a bin, offset).
+
+    The items of a row, by rank, fill its bins one after another, from that offset on. Bins of equal room are
+    handled together, so the plan's size depends on the number of sizes alone. The fills are those of best_fit.
+    """
+    plan: list[tuple[int, int, int, int, int, int]] = []
+    room: dict[int, list[tuple[int, int]]] = {}  # bins with that much room: (first, number)
+    bins = 0
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+
+        def place(first: int, n: int, r: int, size: int = size) -> None:
+            """Fill n bins of room r as long as there are items."""
+            nonlocal left, rank
+            each = r // size
+            whole = min(n, left // each)
+            for start, m, k in ((first, whole, each), (first + whole, int(n > whole and left > whole * each), left - whole * each)):
+                if m:
+                    plan.append((size, rank, m * k, start, k, capacity - r))
+                    if r - k * size:
+                        room.setdefault(r - k * size, []).append((start, m))
+                    rank, left, first, n = rank + m * k, left - m * k, start + m, n - m
+            if n:
+                room.setdefault(r, []).append((first, n))
+
+        for r in sorted(x for x in room if x >= size):
+            for first, n in room.pop(r):
+                if left:
+                    place(first, n, r)
+                else:
+                    room.setdefault(r, []).append((first, n))
+        if left:
+            n = -(-left // (capacity // size))
+            place(bins, n, capacity)
+            bins += n
+    return np.array(plan, np.int64).reshape(-1, 6)
+
+
+def _placed(plan: np.ndarray, first_bin: int):
+    """Bins' rows (the last column is the rank among all of their fill) at their places in the plan."""
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    width = int((plan[:, 1] + plan[:, 2]).max()) + 1
+    keys = plan[:, 0] * width + plan[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            fill, rank = b.column("fill").to_numpy(), b.column("rank").to_numpy()
+            p = plan[np.searchsorted(keys, fill * width + rank, "right") - 1]
+            j = rank - p[:, 1]
+            yield {n: b.column(n) for n in PIECE} | {"bin": first_bin - (p[:, 3] + j // p[:, 4]), "offset": b.column("offset").to_numpy() + p[:, 5] + j % p[:, 4] * fill}
+
+    return run
+
+
+def _by_counts(rest: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
+    """Pack bins as items by the counts of their fills. Columns source and rank number the bins of a fill; a bin's first piece stands for it."""
+    heads = rest.filter("offset = 0").groupBy("source", "fill").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("fill").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source, not for each bin
+    base = scratch.table(heads.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
+    counts = {r.fill: r.n for r in base.groupBy("fill").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    ranked = rest.join(base.select("source", "fill", "before"), ["source", "fill"]).select(*PIECE, "offset", "fill", (F.col("rank") + F.col("before")).alias("rank"))
+    return map_arrow(ranked, _placed(plan_by_counts(counts, capacity), -1), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long")
+
+
+def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, rules: Rules = Rules()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: a tokenizers file."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    now = scratch.table(map_arrow(rows, _pieces(path, capacity, nearly), SCHEMA), "round_0")
-    parts = [now.filter("not open")]
-    top = now.filter("open").agg(F.max("part").alias("top")).first().top
-    round_ = 1
+    rounds = [scratch.table(map_arrow(rows, _pieces(path, capacity, rules), SCHEMA), "round_0")]
+    top = rounds[0].filter(F.col("state") == NEXT).agg(F.max("part").alias("top")).first().top
     while top is not None:
-        tasks = top // FAN_IN + 1
-        group = F.col("part").cast("long") / FAN_IN
-        dealt = now.filter("open").withColumn("__group", F.floor(group)).repartition(int(tasks), "__group").drop("__group")
-        now = scratch.table(map_arrow(dealt, _merge(capacity, nearly, round_, tasks == 1), SCHEMA), f"round_{round_}")
-        parts.append(now.filter("not open"))
-        top = None if tasks == 1 else now.filter("open").agg(F.max("part").alias("top")).first().top
-        round_ += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+        groups = top // FAN_IN + 1
+        dealt = rounds[-1].filter(F.col("state") == NEXT).repartition(int(groups), F.floor(F.col("part") / FAN_IN))
+        rounds.append(scratch.table(map_arrow(dealt, _merge(capacity, rules, groups == 1), SCHEMA), f"round_{len(rounds)}"))
+        top = None if groups == 1 else rounds[-1].filter(F.col("state") == NEXT).agg(F.max("part").alias("top")).first().top
+    ends = [r.withColumn("source", F.col("part") + F.lit(n << 40)).withColumn("bin", F.col("bin") + F.lit(n << 26)) for n, r in enumerate(rounds)]
+    rest = reduce(DataFrame.union, [r.filter(F.col("state") == REST) for r in ends])
+    left = rest.union(ends[-1].filter(F.col("state") == NEXT))
+    if not rest.isEmpty():  # else the last group has packed all that was left
+        left = _by_counts(left, scratch, capacity)
+    final = [*PIECE, F.col("bin").alias("sequence_id"), "offset"]
+    return reduce(DataFrame.union, [r.filter(F.col("state") == DONE).select(*final) for r in ends]).union(left.select(*final))
 
 
 def tokenizer_path() -> str:

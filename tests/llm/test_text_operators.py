@@ -1,6 +1,7 @@
 import hashlib
 import sys
 import zlib
+from collections import namedtuple
 
 sys.path.insert(0, __file__.rpartition("/")[0])
 import pytest
@@ -39,19 +40,15 @@ def test_line_dedup_rows(spark):
 
 
 # packing
-def test_packing(spark):
-    r = seeded(6)
-    texts = [prose(r, r.choice([1, 5, 40, 300, 2500])) for _ in range(80)] + ODD
-    own = packing.Encoder(packing.tokenizer_path())
-    want = {}
-    for i, t in enumerate(texts):
-        ids = [*own.library.encode(t or "", add_special_tokens=False).ids, 0]
-        first = len(ids) - (-(-len(ids) // 2048) - 1) * 2048
-        cuts = [0, *range(first, len(ids) + 1, 2048)]
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            want[i, k] = (a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b])))
-    found = packing.pack(frame(spark, texts).repartition(9), packing.tokenizer_path()).collect()
-    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want
+def plain_tokenizer():
+    """A freshly loaded one, which nobody has altered."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def check_sequences(found, capacity=2048):
+    """Gapless sequences within the capacity; gives their number."""
     bins = {}
     for r in found:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -60,16 +57,102 @@ def test_packing(spark):
         for offset, length in sorted(b):
             assert offset == at
             at += length
-        assert at <= 2048
-    assert len(bins) <= 1.1 * sum(r.length for r in found) / 2048 + 2
+        assert at <= capacity
+    return len(bins)
+
+
+def check_pieces(found, texts):
+    library, want = plain_tokenizer(), {}
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(ids) - (-(-len(ids) // 2048) - 1) * 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            want[i, k] = (a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b])))
+    assert len(found) == len(want)
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want
+
+
+def test_packing(spark):
+    r = seeded(6)
+    texts = [prose(r, r.choice([1, 5, 40, 300, 2500])) for _ in range(80)] + ODD
+    found = packing.pack(frame(spark, texts).repartition(9), packing.tokenizer_path()).collect()
+    check_pieces(found, texts)
+    assert check_sequences(found) <= 1.1 * sum(r.length for r in found) / 2048 + 2
     assert packing.pack(spark.createDataFrame([], DOCS), packing.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize(("partitions", "rules"), [(65, packing.Rules()), (211, packing.Rules(fewest=1)), (300, packing.Rules()), (100, packing.Rules(fewest=1, carry=2))])
+def test_packing_of_many_partitions(spark, partitions, rules):
+    """Several groups meet in a task, and (carry) bins beyond a group's bound are packed by counts."""
+    r = seeded(partitions)
+    texts = [prose(r, r.choice([1, 5, 40, 60, 100, 200])) for _ in range(partitions * 6)]
+    found = packing.pack(frame(spark, texts).repartition(partitions), packing.tokenizer_path(), rules=rules).collect()
+    check_pieces(found, texts)
+    assert (min(r.sequence_id for r in found) < 0) == (rules.carry == 2)
+    n = check_sequences(found)
+    assert rules.fewest == 1 or n <= 1.01 * sum(r.length for r in found) / 2048 + 1
+
+
+def test_merge_of_a_thousand_groups():
+    """All rounds of the tree, whose tasks get several groups each; no bin is torn."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "part", "state", "rank"]
+    n = 20000
+    part = r.integers(0, 1000, n)
+    sizes = r.integers(1, 1500, n)
+    now = dict(zip(names, [np.arange(n), np.zeros(n), np.zeros(n), sizes, np.zeros(n), np.arange(n), np.zeros(n), sizes, part, np.ones(n), np.zeros(n)], strict=True))
+    now = pa.table({k: v.astype(np.int64) for k, v in now.items()})
+    done, groups = [], 1000
+    while groups > 1:
+        groups = -(-groups // packing.FAN_IN)
+        task = now["part"].to_numpy() // packing.FAN_IN % 7
+        merge = packing._merge(2048, packing.Rules(fewest=1), groups == 1)
+        out = [pa.table({k: pa.array(np.asarray(v)) for k, v in x.items()}) for t in range(7) for x in merge(iter(now.filter(pa.array(task == t)).to_batches()))]
+        table = pa.concat_tables(out)
+        for b in set(table["bin"].to_pylist()) if groups < 20 else []:
+            assert len(set(table.filter(pa.compute.equal(table["bin"], b))["part"].to_pylist())) == 1
+        open_ = pa.compute.equal(table["state"], packing.NEXT)
+        assert not pa.compute.any(pa.compute.equal(table["state"], packing.REST)).as_py()
+        done.append((groups, table.filter(pa.compute.invert(open_)) if groups > 1 else table))
+        now = table.filter(open_)
+    found = [Piece((g, b), o, s) for g, t in done for b, o, s in zip(t["bin"].to_pylist(), t["offset"].to_pylist(), t["length"].to_pylist(), strict=True)]
+    assert sorted(p.length for p in found) == sorted(sizes.tolist())
+    assert check_sequences(found) <= 1.05 * sizes.sum() / 2048
+
+
+Piece = namedtuple("Piece", "sequence_id offset length")
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_by_counts_is_best_fit(seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    capacity = int(r.choice([10, 64, 2048]))
+    sizes = r.choice(r.integers(1, capacity + 1, 12), int(r.integers(1, 400)))
+    counts = dict(zip(*[x.tolist() for x in np.unique(sizes, return_counts=True)], strict=True))
+    plan = packing.plan_by_counts(counts, capacity)
+    fills, seen = {}, {}
+    for size, rank, n, first, k, offset in plan.tolist():
+        assert rank == seen.get(size, 0)  # ranks go on without a gap
+        seen[size] = rank + n
+        for j in range(n):
+            b = first + j // k
+            assert fills.get(b, 0) == offset + j % k * size
+            fills[b] = fills.get(b, 0) + size
+    assert seen == counts
+    assert sorted(fills.values()) == sorted(packing.best_fit(sizes, capacity)[2].tolist())
+
+
 def test_encoder_equals_the_library():
     own = packing.Encoder(packing.tokenizer_path())
     texts = [t or "" for t in ODD] + [prose(seeded(1), 500)] * 2 + ["a\n\n b  c", "²½ x_y __a", "tab\tx  y   ", "ñ·x’s", " \n \n", "x\r\ny"]
     for _ in range(3):  # words are remembered from the second time on
-        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in own.encode(texts)] == [plain_tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_best_fit():
