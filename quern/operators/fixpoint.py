@@ -2,15 +2,22 @@
 
 Every round's new tuples are written to the shared folder: this cuts the lineage, survives lost
 executors and gives Catalyst true sizes, so that small deltas are broadcast. The rows are counted
-while they are written, so a round is one job for each relation.
+while they are written, so a round is one job for each relation, and the relations' jobs of a round run
+side by side.
+
+What a round shuffles grows with its candidates: a relation's parts that aren't small are written in
+buckets of its columns (of the group, if it is aggregated), and what a loop doesn't change is dealt once
+by the variables that it is joined on.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DivergenceProblem
@@ -22,6 +29,8 @@ from .rules import Rules, columns_of, union
 
 #: Parts of a relation's table above which they are merged into one.
 PARTS = 8
+#: Rows from which on a merged part is written in buckets; smaller ones are broadcast.
+BUCKETED = 1 << 17
 
 
 class Fixpoint:
@@ -78,30 +87,38 @@ class Fixpoint:
         aggregates = {rel: next((a for r in stratum.rules if r.head.rel == rel and (a := aggregate_of(r))), None) for rel in heads}
         recursive = [(r, [i for i, p in enumerate(r.body) if isinstance(p, Atom) and p.rel in heads]) for r in stratum.rules]
         invariant = {p.rel: store[p.rel] for r in stratum.rules for p in r.body if isinstance(p, Atom) and p.rel not in heads}
-        # what doesn't change in the loop is kept, as filtered and pruned as the rules use it; a lost part is computed again
-        kept = [df.persist() for r, at in recursive if at for df in rules.fixed(r, invariant, set(heads)) if not df.is_cached]
-        given = parts is not None
+        tasks = int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        # what doesn't change in the loop is kept; a lost part is computed again
+        fixed = {n: {i: df.persist() for i, df in rules.fixed(r, invariant, set(heads), tasks).items()} for n, (r, at) in enumerate(recursive) if at}
+        try:
+            return self._rounds(heads, aggregates, recursive, fixed, invariant, store, parts, delta, tasks)
+        finally:
+            for frames in fixed.values():
+                for df in frames.values():
+                    df.unpersist()
+
+    def _rounds(self, heads: list[str], aggregates: dict, recursive: list, fixed: dict, invariant: dict, store: dict, parts: dict | None, delta: dict | None, tasks: int) -> dict[str, DataFrame]:
+        rules, given = self.rules, parts is not None
         parts, delta = parts or {}, delta or {}
+        firsts = {}
         for rel in [] if given else heads:
             start = [store[f"+{rel}"]] if f"+{rel}" in store else []
             start += [rules.tuples(r, lambda i, name: invariant[name]) for r, at in recursive if r.head.rel == rel and not at]
             first = union(start).distinct() if start else rules.empty(rel)
-            if aggregates[rel]:
-                first = aggregate(first, *aggregates[rel], rules.schema[rel])
-            df, n, name = self.scratch.counted(first)
+            firsts[rel] = aggregate(first, *aggregates[rel], rules.schema[rel]) if aggregates[rel] else first
+        for rel, (df, n, name) in self._written(firsts).items():
             parts[rel], delta[rel] = [(df, name)], (df, n)
+        sizes = {rel: delta[rel][1] for rel in heads}
         old: dict[str, DataFrame | None] = dict.fromkeys(heads)
         for round_ in range(1, self.limit + 2):
             if not any(n for _, n in delta.values()):
-                for df in kept:
-                    df.unpersist()
                 return {rel: self._whole(rel, parts[rel], aggregates[rel]) for rel in heads}
             began = time.time()
             now = {rel: self._whole(rel, parts[rel], aggregates[rel]) for rel in heads}
-            fresh: dict[str, tuple[DataFrame, int, str]] = {}
+            jobs: dict[str, DataFrame] = {}
             for rel in heads:
                 new = []
-                for r, at in recursive:
+                for n, (r, at) in enumerate(recursive):
                     if r.head.rel != rel:
                         continue
                     for k, i in enumerate(at):
@@ -109,8 +126,6 @@ class Fixpoint:
                             continue
 
                         def frame(j: int, name: str, i=i, at=at, k=k) -> DataFrame:
-                            if name not in heads:
-                                return invariant[name]
                             if j == i:
                                 return delta[name][0]
                             before = j in at[:k]
@@ -118,57 +133,92 @@ class Fixpoint:
                                 return now[name] if before or aggregates[name] else rules.empty(name)
                             return old[name]
 
-                        new.append(rules.tuples(r, frame))
+                        new.append(rules.tuples(r, frame, fixed[n]))
                 if new:
-                    fresh[rel] = self.scratch.counted(self._fresh(rel, union(new), now[rel], aggregates[rel]))
+                    jobs[rel] = self._fresh(rel, union(new), parts[rel], aggregates[rel])
+            fresh = self._written(jobs)
             for rel in heads:
                 if rel not in fresh or not fresh[rel][1]:
                     delta[rel], old[rel] = (rules.empty(rel), 0), now[rel]
                     continue
                 df, n, name = fresh[rel]
                 parts[rel].append((df, name))
+                sizes[rel] += n
                 if len(parts[rel]) > PARTS:
-                    merged, _, merged_name = self.scratch.counted(self._whole(rel, parts[rel][:-1], aggregates[rel]))
-                    gone = [x for _, x in parts[rel][:-1]]
-                    parts[rel] = [(merged, merged_name), (df, name)]
-                    self.scratch.drop(*gone)  # all of this round's tables are written
+                    self._merge(rel, parts, aggregates[rel], sizes, tasks)
                 old[rel] = union([x for x, _ in parts[rel][:-1]]) if len(parts[rel]) > 1 else now[rel]
                 delta[rel] = (df, n)
                 self.report(relation=rel, round=round_, rows=n, seconds=round(time.time() - began, 3))
         raise DivergenceProblem(f"{', '.join(heads)} didn't settle within {self.limit} rounds")
 
+    def _written(self, frames: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, int, str]]:
+        """Tables of some frames, written side by side."""
+        if len(frames) < 2:
+            return {rel: self.scratch.counted(df) for rel, df in frames.items()}
+        with ThreadPoolExecutor(len(frames)) as pool:
+            return dict(zip(frames, pool.map(self.scratch.counted, frames.values()), strict=True))
+
+    def _merge(self, rel: str, parts: dict, agg: tuple[str, int] | None, sizes: dict, tasks: int) -> None:
+        """All parts but the last become one."""
+        names = columns_of(self.rules.schema[rel])
+        keys = [c for c in names if agg is None or c != f"c{agg[1]}"]
+        whole = self._whole(rel, parts[rel][:-1], agg)
+        if sizes[rel] < BUCKETED or not keys:
+            merged, n, name = self.scratch.counted(whole)
+        else:
+            merged, n, name = self.scratch.bucketed(whole, keys, tasks)
+        gone = [x for _, x in parts[rel][:-1]]
+        parts[rel] = [(merged, name), parts[rel][-1]]
+        self.scratch.drop(*gone)  # all of this round's tables are written
+
     def _whole(self, rel: str, parts: list[tuple[DataFrame, str]], agg: tuple[str, int] | None) -> DataFrame:
         """A relation's parts together; of an aggregated one's, the best value of each group."""
         out = union([df for df, _ in parts])
         return aggregate(out, *agg, self.rules.schema[rel]) if agg and len(parts) > 1 else out
 
-    def _fresh(self, rel: str, new: DataFrame, now: DataFrame, agg: tuple[str, int] | None) -> DataFrame:
-        """Tuples that aren't known yet, or values that are better than the known ones."""
+    def _fresh(self, rel: str, new: DataFrame, parts: list[tuple[DataFrame, str]], agg: tuple[str, int] | None) -> DataFrame:
+        """Tuples that aren't known yet, or values that are better than the known ones. A part in buckets is met by itself, so that only candidates move."""
         names = columns_of(self.rules.schema[rel])
+        dealt = [df for df, name in parts if name in self.scratch.buckets]
+        rest = [df for df, name in parts if name not in self.scratch.buckets]
+        known = dealt + ([union(rest)] if rest else [])
         if agg is None:
-            return new.distinct().join(now, names, "left_anti").select(*names)
+            out = new.distinct()
+            for df in known:
+                out = out.join(df, names, "left_anti")
+            return out.select(*names)
         op, at = agg
-        best = aggregate(new, op, at, self.rules.schema[rel])
+        out = aggregate(new, op, at, self.rules.schema[rel])
         keys = [c for c in names if c != f"c{at}"]
-        known = now.select(*keys, F.col(f"c{at}").alias("known"))
-        joined = best.join(known, keys, "left") if keys else best.join(known, F.lit(True), "left")
-        better = F.col(f"c{at}") < F.col("known") if op == "min" else F.col(f"c{at}") > F.col("known")
-        return joined.where(F.col("known").isNull() | better).select(*names)
+        for df in known:
+            had = df.select(*[F.col(k).alias(f"h{k}") for k in keys], F.col(f"c{at}").alias("known"))
+            good = F.col("known") <= F.col(f"c{at}") if op == "min" else F.col("known") >= F.col(f"c{at}")
+            out = out.join(had, reduce(Column.__and__, [F.col(k) == F.col(f"h{k}") for k in keys], good), "left_anti")
+        return out.select(*names)
 
     # naive
     def naive(self, stratum: Stratum, store: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Recursion through negation or other aggregates: whole relations are derived anew until they don't change."""
-        now = {rel: self.rules.empty(rel) for rel in stratum.heads}
+        now: dict[str, tuple] = {rel: (self.rules.empty(rel), 0, None) for rel in stratum.heads}
         for _ in range(self.limit + 1):
-            new = {rel: self.scratch.counted(self._derive(rel, stratum, store | now, store.get(f"+{rel}")))[0] for rel in stratum.heads}
-            if all(self._same(new[rel], now[rel]) for rel in stratum.heads):
-                return new
+            frames = store | {rel: df for rel, (df, _, _) in now.items()}
+            new = self._written({rel: self._derive(rel, stratum, frames, store.get(f"+{rel}")) for rel in stratum.heads})
+            same = self._same(new, now)
+            self._forget(now.values())
             now = new
+            if same:
+                return {rel: df for rel, (df, _, _) in now.items()}
         raise DivergenceProblem(f"{', '.join(stratum.heads)} didn't settle within {self.limit} rounds")
 
     @staticmethod
-    def _same(a: DataFrame, b: DataFrame) -> bool:
-        return a.count() == b.count() and a.join(b, a.columns, "left_anti").isEmpty()
+    def _same(a: dict[str, tuple], b: dict[str, tuple]) -> bool:
+        """Are the sets equal? They are compared only where their sizes are."""
+        return all(a[rel][1] == b[rel][1] for rel in a) and all(a[rel][0].join(b[rel][0], a[rel][0].columns, "left_anti").isEmpty() for rel in a if a[rel][1])
+
+    def _forget(self, tables: Iterable[tuple], but: Iterable[tuple] = ()) -> None:
+        """Delete tables that no later round reads."""
+        kept = {name for _, _, name in but}
+        self.scratch.drop(*{name for _, _, name in tables if name and name not in kept})
 
     def loop(self, stratum: Stratum, store: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """fixpoint and loop blocks. A relation's next value is its base and what its rules give; an iterative one's, what they give."""
@@ -176,11 +226,12 @@ class Fixpoint:
         heads, iterative = stratum.heads, set(block.iterative)
         if block.kind == "fixpoint" and not iterative:
             return self.run(Stratum(stratum.rules, True), store)
-        base = {rel: self.scratch.counted((store[f"+{rel}"] if f"+{rel}" in store else self.rules.empty(rel)).distinct())[0] for rel in heads}
-        now = {rel: base[rel] if rel in iterative else self.rules.empty(rel) for rel in heads}
+        base = self._written({rel: (store[f"+{rel}"] if f"+{rel}" in store else self.rules.empty(rel)).distinct() for rel in heads})
+        now = {rel: base[rel] if rel in iterative else (self.rules.empty(rel), 0, None) for rel in heads}
         for k in range(self.limit + 1):
             began = time.time()
-            new = {rel: self.scratch.counted(self._derive(rel, stratum, store | now, None if rel in iterative else base[rel])) for rel in heads}
+            frames = store | {rel: df for rel, (df, _, _) in now.items()}
+            new = self._written({rel: self._derive(rel, stratum, frames, None if rel in iterative else base[rel][0]) for rel in heads})
             self.report(relation=",".join(heads), round=k, rows=sum(n for _, n, _ in new.values()), seconds=round(time.time() - began, 3))
             going = block.windows is None or any(a <= k <= b for a, b in block.windows)
             fired = block.until is not None and (all if block.until_all else any)(new[u][1] > 0 for u in block.until)
@@ -188,12 +239,15 @@ class Fixpoint:
                 go = going and not fired if block.either else going or not fired
             else:
                 go = going and not fired
-            after = {rel: df for rel, (df, _, _) in new.items()}
+            after = new
             if iterative:  # in a mixed block, accumulated relations keep what they have
-                after = {rel: df if rel in iterative else self.scratch.counted(df.union(now[rel]).distinct())[0] for rel, df in after.items()}
+                after = {rel: x if rel in iterative else self.scratch.counted(x[0].union(now[rel][0]).distinct()) for rel, x in new.items()}
+                self._forget(new.values(), after.values())
             if not go:
-                return now if iterative else after
-            if all(self._same(after[rel], now[rel]) for rel in heads):
-                return after
+                return {rel: df for rel, (df, _, _) in (now if iterative else after).items()}
+            same = self._same(after, now)
+            self._forget(now.values(), base.values())
             now = after
+            if same:
+                return {rel: df for rel, (df, _, _) in now.items()}
         raise DivergenceProblem(f"{', '.join(heads)} didn't settle within {self.limit} rounds")

@@ -61,20 +61,32 @@ class Rules:
     def _names(rule: Rule) -> dict[str, str]:
         return {v: f"v{i}" for i, v in enumerate(dict.fromkeys(v for p in rule.body for v in variables(p)))}
 
-    def fixed(self, rule: Rule, store: dict[str, DataFrame], changing: set[str]) -> list[DataFrame]:
-        """The filtered and pruned frames of the atoms that don't change in a loop, as `bindings` makes them."""
-        return [self._plain(p, store[p.rel], self._names(rule))[0] for p in rule.body if isinstance(p, Atom) and p.rel not in changing]
-
-    def bindings(self, rule: Rule, frame: Callable[[int, str], DataFrame]) -> tuple[DataFrame, Columns]:
-        """The rule's body. frame: of the i-th body predicate, an atom of a relation."""
+    def fixed(self, rule: Rule, store: dict[str, DataFrame], changing: set[str], parts: int) -> dict[int, DataFrame]:
+        """What doesn't change in a loop, by its place in the body: filtered, pruned, and dealt by the variables that it shares with what changes, so that rounds don't shuffle it."""
+        names, out = self._names(rule), {}
+        moving = {v for p in rule.body if isinstance(p, Atom) and p.rel in changing for v in variables(p)}
+        for i, p in enumerate(rule.body):
+            if isinstance(p, Atom) and p.rel not in changing:
+                df, own = self._plain(p, store[p.rel], names)
+                key = own if p.negated else [v for v in own if v in moving]
+                out[i] = df.repartition(parts, *[names[v] for v in key]) if key else df
+        return out
+
+    def bindings(self, rule: Rule, frame: Callable[[int, str], DataFrame], fixed: dict[int, DataFrame] | None = None) -> tuple[DataFrame, Columns]:
+        """The rule's body. frame: of the i-th body predicate, an atom of a relation; fixed: frames that are filtered and pruned already."""
         names = self._names(rule)
+
+        def plain(i: int, p: Atom) -> tuple[DataFrame, list[str]]:
+            if fixed is not None and i in fixed:
+                return fixed[i], list(dict.fromkeys(v for v in variables(p)))
+            return self._plain(p, frame(i, p.rel), names)
+
         cols = Columns(lambda v: F.col(names[v]), self.functions)
         atoms = [(i, p) for i, p in enumerate(rule.body) if isinstance(p, Atom) and not p.negated]
-        if rule.plan:
-            atoms = [atoms[k - 1] for k in rule.plan]
+        atoms = [atoms[k - 1] for k in rule.plan] if rule.plan else connected(atoms)
         rest = [p for p in rule.body if not (isinstance(p, Atom) and not p.negated)]
         used = set(variables(rule.head)) | {v for p in rest for v in variables(p)}
-        parts = [self._plain(p, frame(i, p.rel), names) for i, p in atoms]
+        parts = [plain(i, p) for i, p in atoms]
         if self.sip and len(parts) >= 3:
             parts = self._sweep(parts, names)
         now: DataFrame | None = None
@@ -110,7 +122,7 @@ class Rules:
                 now = now.where(~hold if p.negated else hold)
         for i, p in enumerate(rule.body):
             if isinstance(p, Atom) and p.negated:
-                df, own = self._plain(p, frame(i, p.rel), names)
+                df, own = plain(i, p)
                 if own:
                     now = now.join(df, [names[v] for v in own], "left_anti")
                 else:
@@ -130,9 +142,9 @@ class Rules:
                     frames[i] = frames[i].join(frames[i + step].select(*on), on, "left_semi")
         return [(df, own) for df, (_, own) in zip(frames, parts, strict=True)]
 
-    def tuples(self, rule: Rule, frame: Callable[[int, str], DataFrame]) -> DataFrame:
+    def tuples(self, rule: Rule, frame: Callable[[int, str], DataFrame], fixed: dict[int, DataFrame] | None = None) -> DataFrame:
         """Head tuples, an aggregate's argument in its place; they may repeat."""
-        now, cols = self.bindings(rule, frame)
+        now, cols = self.bindings(rule, frame, fixed)
         types = self.schema[rule.head.rel]
         if not types:
             return now.select(F.lit(True).alias(UNIT)).limit(1)
@@ -144,5 +156,17 @@ class Rules:
         return now.select(*out)
 
 
+def connected(atoms: list[tuple[int, Atom]]) -> list[tuple[int, Atom]]:
+    """Atoms in source order, but next comes one that shares a variable with those before (or has none), as long as one does."""
+    left, out, bound = list(atoms), [], set()
+    while left:
+        near = [x for x in left if not (own := set(variables(x[1]))) or own & bound]
+        now = near[0] if near and out else left[0]
+        left.remove(now)
+        out.append(now)
+        bound |= set(variables(now[1]))
+    return out
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames)

@@ -84,8 +84,10 @@ def test_closures_agree(spark, rule):
     assert run(spark, text, "R", E=edges) == sorted(closure(edges), key=repr)
 
 
-def test_long_chains(spark):
-    """More rounds than a relation has parts, plain and aggregated."""
+@pytest.mark.parametrize("bucketed", [1, 1 << 17])
+def test_long_chains(spark, bucketed, monkeypatch):
+    """More rounds than a relation has parts, plain and aggregated; with merged parts in buckets and without."""
+    monkeypatch.setattr("quern.operators.fixpoint.BUCKETED", bucketed)
     edges = [(i, i + 1) for i in range(12)]
     text = ".decl E(a: int32, b: int32)\n.decl Out(a: int32)\n.decl D(a: int32, d: int32)\n.output Out\n.output D\nOut(0).\nOut(b) :- Out(a), E(a, b).\nD(0, min(0)) :- E(0, _).\nD(b, min(d + 2)) :- D(a, d), E(a, b).\nD(b, min(d + 1)) :- D(a, d), E(a, c), E(c, b)."
     assert run(spark, text, E=edges) == sorted([(i,) for i in range(13)], key=repr)
@@ -95,6 +97,17 @@ def test_long_chains(spark):
     assert run(spark, text, "D", E=edges) == sorted(want.items(), key=repr)
 
 
+def test_join_order(spark):
+    """Atoms that share no variable with those before wait for one that does; only genuine cross products remain."""
+    text = ".decl A(x: int32)\n.decl B(y: int32)\n.decl C(x: int32, y: int32)\n.decl Out(x: int32, y: int32)\n.output Out\nOut(x, y) :- A(x), B(y), C(x, y)."
+    e = Engine(spark, text)
+    for rel, data in {"A": [(1,), (2,)], "B": [(5,), (6,)], "C": [(1, 5), (2, 7), (3, 6), (2, 6)]}.items():
+        e.insert(rel, data)
+    out = e.query("Out")
+    assert rows(out) == [(1, 5), (2, 6)]
+    assert "NestedLoop" not in (plan := out._jdf.queryExecution().toString()) and "Cartesian" not in plan
+
+
 def test_divergence(spark):
     e = Engine(spark, ".decl N(n: int32)\n.output N\nN(0).\nN(n + 1) :- N(n).", max_rounds=4)
     with pytest.raises(DivergenceProblem):
