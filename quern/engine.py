@@ -225,6 +225,7 @@ class Engine:
     def close(self) -> None:
         for df in self._kept:
             df.unpersist()
+        self._kept.clear()
 
 
 def on_columns(f: Callable) -> Callable:

@@ -57,32 +57,8 @@ class Fixpoint:
         return self.semi_naive(stratum, store) if monotone else self.naive(stratum, store)
 
     # semi-naive
-    def extend(self, stratum: Stratum, store: dict[str, DataFrame], plus: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-        """A monotone stratum without aggregates after insertions: (whole relations, what is new in them).
-
-        store holds the new values of what the stratum reads and the present ones of its heads, plus what is
-        new in them. Only derivations that use a new row are made.
-        """
-        rules, whole, fresh = self.rules, {}, {}
-        for rel in stratum.heads:
-            seeds = [plus[rel]] if rel in plus else []
-            for r in (r for r in stratum.rules if r.head.rel == rel):
-                for i, p in enumerate(r.body):
-                    if isinstance(p, Atom) and not p.negated and p.rel in plus and p.rel not in stratum.heads:
-                        seeds.append(rules.tuples(r, lambda j, name, i=i: plus[name] if j == i else store[name]))
-            new = union(seeds).distinct() if seeds else rules.empty(rel)
-            names = columns_of(rules.schema[rel])
-            known = store[rel].join(plus[rel], names, "left_anti") if rel in plus else store[rel]
-            fresh[rel] = self.scratch.counted(new.join(known, names, "left_anti").select(*names))
-            whole[rel] = self.scratch.counted(known.select(*names).union(fresh[rel][0]))
-        if not stratum.recursive:
-            return {k: v[0] for k, v in whole.items()}, {k: v[0] for k, v in fresh.items()}
-        out = self.semi_naive(stratum, store, {k: [(df, name)] for k, (df, _, name) in whole.items()}, {k: (df, n) for k, (df, n, _) in fresh.items()})
-        gained = {rel: out[rel].join(store[rel], columns_of(rules.schema[rel]), "left_anti").union(plus[rel] if rel in plus else rules.empty(rel)).distinct() for rel in stratum.heads}
-        return out, {rel: self.scratch.counted(df)[0] for rel, df in gained.items()}
-
-    def semi_naive(self, stratum: Stratum, store: dict[str, DataFrame], parts: dict | None = None, delta: dict | None = None) -> dict[str, DataFrame]:
-        """The least fixpoint; with parts and delta, from a state on in which the delta is new."""
+    def semi_naive(self, stratum: Stratum, store: dict[str, DataFrame], parts: dict | None = None, delta: dict | None = None, kept: dict[str, list[DataFrame]] | None = None) -> dict[str, DataFrame]:
+        """The least fixpoint; with parts and delta, from a state on in which the delta is new. kept: gets each round's new tuples, whose tables then stay."""
         rules, heads = self.rules, stratum.heads
         aggregates = {rel: next((a for r in stratum.rules if r.head.rel == rel and (a := aggregate_of(r))), None) for rel in heads}
         recursive = [(r, [i for i, p in enumerate(r.body) if isinstance(p, Atom) and p.rel in heads]) for r in stratum.rules]
@@ -91,13 +67,13 @@ class Fixpoint:
         # what doesn't change in the loop is kept; a lost part is computed again
         fixed = {n: {i: df.persist() for i, df in rules.fixed(r, invariant, set(heads), tasks).items()} for n, (r, at) in enumerate(recursive) if at}
         try:
-            return self._rounds(heads, aggregates, recursive, fixed, invariant, store, parts, delta, tasks)
+            return self._rounds(heads, aggregates, recursive, fixed, invariant, store, parts, delta, tasks, kept)
         finally:
             for frames in fixed.values():
                 for df in frames.values():
                     df.unpersist()
 
-    def _rounds(self, heads: list[str], aggregates: dict, recursive: list, fixed: dict, invariant: dict, store: dict, parts: dict | None, delta: dict | None, tasks: int) -> dict[str, DataFrame]:
+    def _rounds(self, heads: list[str], aggregates: dict, recursive: list, fixed: dict, invariant: dict, store: dict, parts: dict | None, delta: dict | None, tasks: int, kept: dict | None) -> dict[str, DataFrame]:
         rules, given = self.rules, parts is not None
         parts, delta = parts or {}, delta or {}
         firsts = {}
@@ -142,8 +118,10 @@ class Fixpoint:
                     delta[rel], old[rel] = (rules.empty(rel), 0), now[rel]
                     continue
                 df, n, name = fresh[rel]
-                parts[rel].append((df, name))
+                parts[rel].append((df, name if kept is None else None))
                 sizes[rel] += n
+                if kept is not None:
+                    kept[rel].append(df)
                 if len(parts[rel]) > PARTS:
                     self._merge(rel, parts, aggregates[rel], sizes, tasks)
                 old[rel] = union([x for x, _ in parts[rel][:-1]]) if len(parts[rel]) > 1 else now[rel]
@@ -169,7 +147,7 @@ class Fixpoint:
             merged, n, name = self.scratch.bucketed(whole, keys, tasks)
         gone = [x for _, x in parts[rel][:-1]]
         parts[rel] = [(merged, name), parts[rel][-1]]
-        self.scratch.drop(*gone)  # all of this round's tables are written
+        self.scratch.drop(*[x for x in gone if x])  # all of this round's tables are written
 
     def _whole(self, rel: str, parts: list[tuple[DataFrame, str]], agg: tuple[str, int] | None) -> DataFrame:
         """A relation's parts together; of an aggregated one's, the best value of each group."""

@@ -161,12 +161,14 @@ def test_misuse(spark):
 TC = ".decl E(a: int32, b: int32)\n.decl R(a: int32, b: int32)\n.output R\n.decl D(a: int32)\n.output D\n.decl N()\n.output N\nR(x, y) :- E(x, y).\nR(x, z) :- R(x, y), E(y, z).\nD(x) :- E(x, _), !R(x, x).\nN() :- R(x, x).\n"
 
 
-@pytest.mark.parametrize("signs", [[1, 1, -1], [1]])
-def test_increments_equal_batches(spark, signs):
-    """With removals strata are evaluated again; with insertions only, monotone ones are extended."""
+MORE = ".decl C(x: int32, n: int64)\n.output C\nC(x, count(y)) :- R(x, y).\n.decl M(y: int32)\n.output M\nM(max(y)) :- E(_, y).\n.decl S(y: int32)\n.output S\nS(y) :- E(_, y), !E(y, _).\n.printsize P\n.decl P(x: int32)\nP(x) :- S(x) ; E(x, x).\n"
+
+
+def test_increments_equal_batches(spark):
+    """Insertions and removals through joins, negation, recursion and aggregates."""
     r = random.Random(8)
-    e, state, seen = IncrementalEngine(spark, TC), {}, {"R": set(), "D": set()}
-    for _ in range(3):
+    e, state, seen, size = IncrementalEngine(spark, TC + MORE), {}, {k: set() for k in "RDCMS"}, 0
+    for signs in ([1], [1], [1, -1, -1], [-1, 1]):
         e.begin()
         for _ in range(4):
             edge, n = (r.randrange(5), r.randrange(5)), r.choice(signs)
@@ -178,8 +180,26 @@ def test_increments_equal_batches(spark, signs):
                 assert (tuple(row) in seen[rel]) == (n < 0)
                 (seen[rel].add if n > 0 else seen[rel].discard)(tuple(row))
         edges = {x for x, n in state.items() if n > 0}
-        assert seen["R"] == closure(edges)
-        assert seen["D"] == {(a,) for a, _ in edges if (a, a) not in closure(edges)}
+        reach = closure(edges)
+        assert seen["R"] == reach
+        assert seen["D"] == {(a,) for a, _ in edges if (a, a) not in reach}
+        assert seen["C"] == {(a, sum(x == a for x, _ in reach)) for a, _ in reach}
+        assert seen["M"] == ({(max(b for _, b in edges),)} if edges else set())
+        assert seen["S"] == {(b,) for _, b in edges if b not in {a for a, _ in edges}}
+        size += delta["P"]
+        assert size == len(seen["S"] | {(a,) for a, b in edges if a == b})
+
+
+def test_failing_commit(spark):
+    """It leaves the engine, and the transaction, as they were."""
+    e = IncrementalEngine(spark, ".decl A(x: int32)\n.decl B(y: int32)\n.output B\nB(10 / x) :- A(x).")
+    e.insert("A", [(5,)])
+    assert rows(e.commit()["B"]) == [(2, 1)]
+    e.insert("A", [(0,), (2,)])
+    with pytest.raises(Exception, match="(?i)divi"):
+        e.commit()
+    e.remove("A", [(0,)])
+    assert rows(e.commit()["B"]) == [(5, 1)] and e.epoch == 2
 
 
 def test_repl(spark, tmp_path):
@@ -200,13 +220,15 @@ def test_preload(spark):
 
 
 def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    spark.createDataFrame([(1, 2), (2, 3)], "a int, b int").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
-    e, got = IncrementalEngine(spark, TC), []
-    q = feed(e, "E", spark.readStream.schema("a int, b int").parquet(str(tmp_path / "in")), lambda d, n: got.append(rows(d["R"])), str(tmp_path / "cp"))
-    q.processAllAvailable()
-    q.stop()
-    assert got == [[(1, 2, 1), (1, 3, 1), (2, 3, 1)]]
+    """Batches come once each, also to an engine that starts anew."""
+    text, got = ".decl E(a: int32, b: int32)\n.decl N(a: int32, n: int64)\n.output N\nN(a, count(b)) :- E(a, b).", []
+    for i, data in enumerate([[(1, 2), (2, 3)], [(1, 4), (None, 1)]]):
+        spark.createDataFrame(data, "a int, b int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        e = IncrementalEngine(spark, text)
+        q = feed(e, "E", spark.readStream.schema("a int, b int").parquet(str(tmp_path / "in")), lambda d, n: got.append((n, rows(d["N"]))), str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+    assert got == [(0, [(1, 1, 1), (2, 1, 1)]), (1, [(1, 1, -1), (1, 2, 1)])]
 
 
 def test_profile(spark, tmp_path):
