@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("-I", "--include", action="append", default=[], help="folder of included programs")
     p.add_argument("--mode", choices=MODES, default="datalog-batch")
     p.add_argument("--udf-file", help="Python file with the external functions")
+    p.add_argument("--parts", action="store_true", help="outputs are folders of part files, written in parallel")
     p.add_argument("--sip", action="store_true", help="reduce joins by sweeps of semi joins")
     p.add_argument("--max-rounds", type=int, default=65535)
     p.add_argument("--profile", help="write strata and rounds to this JSON file, and a page beside it")
@@ -47,7 +48,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for name, x in results.items():
             if hasattr(x, "toLocalIterator"):
                 for r in x.toLocalIterator():
-                    print(f"[tuple][{name}] t={getattr(engine, 'epoch', 0)} data={tuple(r)}")
+                    row, diff = (tuple(r)[:-1], r["diff"]) if isinstance(engine, IncrementalEngine) else (tuple(r), 1)
+                    print(f"[tuple][{name}] t={getattr(engine, 'epoch', 0)} data={row} diff={diff:+d}")
             else:
                 print(f"[size][{name}] t={getattr(engine, 'epoch', 0)} size={x}")
 
@@ -60,7 +62,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.output == "-":
         show(engine.run())
     else:
-        engine.write(a.output)
+        engine.write(a.output, a.parts)
     if a.profile:
         write_json(engine, a.profile)
         Path(a.profile).with_suffix(".html").write_text(page(engine))

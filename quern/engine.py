@@ -6,14 +6,14 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import EngineProblem
 from .functions.scalars import PRIMITIVE, spark_type
 from .operators.fixpoint import Fixpoint
-from .operators.rules import UNIT, Rules, columns_of, schema_of, union
+from .operators.rules import UNIT, Rules, columns_of, ordinals, schema_of, strings, union
 from .plans.ast import Atom
 from .plans.program import Program, build
 from .plans.types import BITS, limits
@@ -141,6 +141,18 @@ class Engine:
         uses.update(self.wanted)
         return uses
 
+    def _numbers(self, frames: list[tuple[str, DataFrame]]) -> DataFrame:
+        """(text, number) of the strings in the inputs and in the rules, in their order, from 0 on; a table."""
+        texts = [df.select(F.col(f.name).alias("text")) for _, df in frames for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        constants = {c for s in self.program.strata for r in s.rules for c in strings(r)}
+        texts.append(self.spark.createDataFrame([(c,) for c in sorted(constants)], "text string"))
+        # sorted parts are counted, and each string's number is its place in its part and the sizes of the parts before
+        dealt = union(texts).distinct().repartitionByRange("text").sortWithinPartitions("text")
+        placed = self.scratch.counted(dealt.select("text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))[0]
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+        sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        return self.scratch.counted(placed.join(F.broadcast(sizes), "part").select("text", (F.col("before") + F.col("place")).cast("int").alias("number")))[0]
+
     def evaluate(self, base: Callable[[str], DataFrame | None] | None = None) -> dict[str, DataFrame]:
         """All relations' frames."""
         store: dict[str, DataFrame] = {}
@@ -151,6 +163,8 @@ class Engine:
             if rows is not None:
                 store[f"+{rel}"] = rows
             store[rel] = rows if rows is not None else self.rules.empty(rel)
+        if any(ordinals(r) for s in self.program.strata for r in s.rules):
+            self.rules.numbers = self._numbers([(k[1:], df) for k, df in store.items() if k[0] == "+"])
         for s in self.program.strata:
             if s.loop is not None:
                 new = self.fixpoint.loop(s, store)
@@ -199,8 +213,8 @@ class Engine:
         key = self._key(rel)
         return self.named(key, self.output(key, self.evaluate()))
 
-    def write(self, folder: str) -> None:
-        """Write the outputs to files, `<Relation>.csv` unless the directive names them."""
+    def write(self, folder: str, parts: bool = False) -> None:
+        """Write the outputs to files, `<Relation>.csv` unless the directive names them; with parts, to folders of that name, in parallel."""
         store = self.evaluate()
         for key in self.wanted:
             r = self.program.relations[key]
@@ -210,7 +224,7 @@ class Engine:
                 lines = self.spark.createDataFrame([(str(self.whole(key, store).count()),)], "value string")
             else:
                 lines = lines_of(self.output(key, store), self.program.schema[key], spec.get("delimiter", "\t"))
-            write_lines(lines, path)
+            write_lines(lines, path, parts)
 
     def explain(self) -> str:
         """The strata and their rules' relations, and the rounds that the last evaluation took."""

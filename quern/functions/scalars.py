@@ -7,7 +7,6 @@ uint64 in decimal(20, 0).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -138,24 +137,11 @@ def literal(value, t: Type) -> Column:
     return F.lit(value).cast(PRIMITIVE[t.prim])
 
 
-def full_match(pattern: Column | str, s: Column) -> Column:
-    """Does the pattern match the whole text? An invalid constant pattern matches nothing."""
-    if isinstance(pattern, str):
-        java = f"(?d)^(?:{pattern})\\z"
-        try:
-            re.compile(pattern)
-        except re.error:
-            if not re.search(r"\\[pPzZ]|\[\[:|\(\?<", pattern):
-                return F.lit(False)
-        return F.rlike(s, F.lit(java))
-    return F.rlike(s, F.concat(F.lit("(?d)^(?:"), pattern, F.lit(")\\z")))
-
-
 class Columns:
     """Turns typed expressions into columns of one rule's bindings."""
 
-    def __init__(self, of: Callable[[str], Column], functions: dict[str, Callable], ordinal: Callable[[Column], Column] | None = None):
-        self.of, self.functions, self.ordinal = of, functions, ordinal
+    def __init__(self, of: Callable[[str], Column], functions: dict[str, Callable], ordinals: dict | None = None):
+        self.of, self.functions, self.ordinals = of, functions, ordinals or {}
 
     def __call__(self, e: Typed) -> Column:
         x, t = e.of, e.type
@@ -188,6 +174,7 @@ class Columns:
             long = F.when(size < 0, F.char_length(s)).otherwise(size)
             return F.when(start < 0, "").otherwise(F.substring(s, F.when(start < 0, F.lit(1)).otherwise(F.least(start, F.char_length(s)) + 1), long))
         if x.name == "ord":
-            # an opaque number of the string, the same everywhere: what matters is that equal strings agree
-            return F.xxhash64(args[0]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if self.ordinal is None else self.ordinal(args[0])
+            # strings of the inputs and rules have dense numbers from 0 on; others, built on the way, a negative hash
+            other = F.xxhash64(args[0]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") - F.lit(2**31 - 1) - F.lit(1)
+            return F.coalesce(self.ordinals[x], other) if x in self.ordinals else other
         return self.functions[x.name](*args)

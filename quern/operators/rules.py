@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import Columns, full_match, literal, spark_type
-from ..plans.ast import Agg, Atom, Compare, Const, Rule, Typed, Var, Wild
+from ..functions.patterns import full_match
+from ..functions.scalars import Columns, literal, spark_type
+from ..plans.ast import Agg, Atom, Bin, Call, Compare, Const, Item, Match, Rule, Tup, Typed, Var, Wild
 from ..plans.program import variables
 from ..plans.types import Type
 
@@ -35,6 +36,7 @@ class Rules:
 
     def __init__(self, spark: SparkSession, schema: dict[str, tuple], functions: dict[str, Callable], sip: bool = False):
         self.spark, self.schema, self.functions, self.sip = spark, schema, functions, sip
+        self.numbers: DataFrame | None = None  # (text, number), for ord
 
     def empty(self, rel: str) -> DataFrame:
         return self.spark.createDataFrame([], schema_of(self.schema[rel]))
@@ -109,6 +111,10 @@ class Rules:
             have = have + new
         if now is None:
             now = self.spark.range(1).select(F.lit(True).alias(UNIT))
+        for n, call in enumerate(ordinals(rule) if self.numbers is not None else []):
+            found = self.numbers.select(F.col("text").alias(f"text{n}"), F.col("number").alias(f"number{n}"))
+            now = now.join(found, cols(call.args[0]) == F.col(f"text{n}"), "left").drop(f"text{n}")
+            cols.ordinals[call] = F.col(f"number{n}")
         for p in rest:
             if isinstance(p, Compare):
                 left, right = cols(p.left), cols(p.right)
@@ -156,6 +162,22 @@ class Rules:
         return now.select(*out)
 
 
+def parts_of(e) -> list:
+    """An expression or predicate and all in it, inner ones first."""
+    of = {Typed: lambda: [e.of], Agg: lambda: [e.of], Item: lambda: [e.of], Bin: lambda: [e.left, e.right], Compare: lambda: [e.left, e.right], Match: lambda: [e.pattern, e.text], Tup: lambda: e.items, Call: lambda: e.args, Atom: lambda: e.args}
+    return [y for x in of.get(type(e), list)() for y in parts_of(x)] + [e]
+
+
+def ordinals(rule: Rule) -> list[Call]:
+    """The calls of ord in a rule, inner ones first."""
+    return list(dict.fromkeys(e for p in (*rule.body, rule.head) for e in parts_of(p) if isinstance(e, Call) and e.name == "ord"))
+
+
+def strings(rule: Rule) -> set[str]:
+    """The string constants in a rule."""
+    return {e.value for p in (*rule.body, rule.head) for e in parts_of(p) if isinstance(e, Const) and isinstance(e.value, str)}
+
+
 def connected(atoms: list[tuple[int, Atom]]) -> list[tuple[int, Atom]]:
     """Atoms in source order, but next comes one that shares a variable with those before (or has none), as long as one does."""
     left, out, bound = list(atoms), [], set()

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scenarios
 from .engine import Engine, on_columns
 from .streaming.incremental import IncrementalEngine
 
@@ -53,6 +51,8 @@ _add("p4_const_filter", '.decl Out(k: int64, price: f64)\n.output Out\nOut(k, p)
 _add("p5_repeated_var", ".decl Pair(a: int32, b: int32)\n.decl Out(k: int32)\n.output Out\nPair(n, r) :- Nation(n, _, r).\nOut(x) :- Pair(x, x).", "SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_nationkey = n_regionkey")
 _add("p7_compare", ".decl Out(k: int64, bal: f64)\n.output Out\nOut(k, b) :- Customer(k, _, n, b, s), b >= 1000.0, b < 5000.0, n != 3, s > \"B\".", "SELECT DISTINCT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_acctbal >= 1000 AND c_acctbal < 5000 AND c_nationkey <> 3 AND c_mktsegment > 'B'")
 _add("p8_match", '.decl Out(k: int64)\n.output Out\nOut(k) :- Part(k, n, _, t, _), match("s.*ring|.*(bolt|nut)", n), !match("ECO.*", t).', "SELECT DISTINCT p_partkey AS k FROM part WHERE regexp_full_match(p_name, 's.*ring|.*(bolt|nut)') AND NOT regexp_full_match(p_type, 'ECO.*')")
+_add("p8_dialect", '.decl Out(k: int64)\n.output Out\nOut(k) :- Part(k, n, _, t, _), match("(?P<first>[[:alpha:]]+) [^[:digit:]]*", n), !match("(", t), !match("(E)\\\\1.*", t).', "SELECT DISTINCT p_partkey AS k FROM part WHERE regexp_full_match(p_name, '[A-Za-z]+ [^0-9]*')")
+_add("p8_column_pattern", '.decl Out(k: int64)\n.output Out\nOut(k) :- Part(k, n, b, t, _), match(cat(cat(".*[", substr(b, 0, 3)), "].*"), n), !match(cat("(", b), t).', "SELECT DISTINCT p_partkey AS k FROM part WHERE regexp_full_match(p_name, '.*[' || substring(p_brand, 1, 3) || '].*')")
 _add("p9_contains", '.decl Out(k: int64, name: string)\n.output Out\nOut(k, n) :- Part(k, n, b, _, _), contains("in", n), !contains("#2", b).', "SELECT DISTINCT p_partkey AS k, p_name AS name FROM part WHERE contains(p_name, 'in') AND NOT contains(p_brand, '#2')")
 _add("p11_assignment", ".decl Out(k: int64, v: int64)\n.output Out\nOut(k, v) :- Line(o, k, _, _), h = o % 100, v = h * 2 + 1.", "SELECT DISTINCT l_partkey AS k, (l_orderkey % 100) * 2 + 1 AS v FROM lineitem")
 _add("p13_const_head", '.decl Out(k: int32, tag: string, n: int32)\n.output Out\nOut(k, "x", 7) :- Region(k, _).', "SELECT r_regionkey AS k, 'x' AS tag, 7::INTEGER AS n FROM region")
@@ -99,6 +99,9 @@ _add("o2_topk", '.decl Out(k: int64, bal: f64)\n.output Out(order_by="bal DESC,
 _add("f1_arith", ".decl Out(k: int32, a: int32, b: int32, c: int32, d: int32)\n.output Out\nOut(k, k + 2 * 3, k - 10 / 3, k - 10 % 4, k * 2000000000) :- Nation(k, _, _).", "SELECT n_nationkey AS k, (n_nationkey + 2) * 3 AS a, trunc((n_nationkey - 10) / 3)::INTEGER AS b, (n_nationkey - 10) % 4 AS c, (((n_nationkey::BIGINT * 2000000000 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)::INTEGER AS d FROM nation")
 _add("f2_strings", ".decl Out(k: int64, l: int32, s: string, c: string)\n.output Out\nOut(k, strlen(n), substr(n, 2, 5), cat(cat(b, \"/\"), n)) :- Part(k, n, b, _, _).", "SELECT DISTINCT p_partkey AS k, length(p_name)::INTEGER AS l, substring(p_name, 3, 5) AS s, p_brand || '/' || p_name AS c FROM part")
 _add("f5_numbers", '.decl Out(k: int32, s: string, n: int32, z: int32)\n.output Out\nOut(k, to_string(k), to_number(substr(name, 7, 5)), to_number(name)) :- Nation(k, name, _).', "SELECT n_nationkey AS k, n_nationkey::VARCHAR AS s, coalesce(try_cast(substring(n_name, 8, 5) AS INTEGER), 0) AS n, 0::INTEGER AS z FROM nation")
+_add("f5_floats", ".decl Out(k: int64, s: string)\n.output Out\nOut(k, to_string(b)) :- Customer(k, _, _, b, _).", "SELECT DISTINCT c_custkey AS k, regexp_replace(c_acctbal::VARCHAR, '[.]0$', '') AS s FROM customer")
+_add("f4_ord", ".decl Out(name: string, n: int32)\n.output Out\nOut(n, ord(n)) :- Nation(_, n, _).", "SELECT n_name AS name, (dense_rank() OVER (ORDER BY n_name) - 1)::INTEGER AS n FROM nation")
+_add("f4_ord_join", ".decl Out(k: int64)\n.output Out\nOut(k) :- Customer(k, _, _, _, s), ord(s) = ord(\"BUILDING\").", "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'")
 _add("f9_tuples", ".type P = (a: int32, b: string)\n.decl T(t: P, r: int32)\n.decl Out(a: int32, b: string, r: int32)\n.output Out\nT((k, n), r) :- Nation(k, n, r).\nOut(a, b, r) :- T(t, r), (a, b) = t, (_, _) = t, t != (3, \"NATION_3\").", "SELECT n_nationkey AS a, n_name AS b, n_regionkey AS r FROM nation WHERE n_nationkey <> 3")
 _add("f11_subtypes", ".type Key <: int64\n.type Cust <: Key\n.decl A(k: Cust)\n.decl Out(k: Key)\n.output Out\nA(as(k, Cust)) :- Customer(k, _, 4, _, _).\nOut(k) :- A(k).", "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_nationkey = 4")
 _add("g1_components", '.comp Reach<T> {\n .decl E(a: T, b: T)\n .decl R(a: T, b: T) overridable\n R(a, b) :- E(a, b).\n}\n.comp Closed<T> : Reach<T> {\n .override R\n R(a, b) :- E(a, b).\n R(a, c) :- R(a, b), E(b, c).\n}\n.init g = Closed<int64>\n.decl Out(a: int64, b: int64)\n.output Out\ng.E(k, k / 3) :- Supplier(k, _, _), k > 0.\nOut(a, b) :- g.R(a, b).', "WITH RECURSIVE r AS (SELECT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier WHERE s_suppkey > 0 UNION SELECT a, b // 3 FROM r WHERE b > 0) SELECT a, b FROM r")
@@ -118,6 +121,9 @@ _add("r5_fixpoint", GRAPH + ".decl Out(c: int64)\n.output Out\nOut(b) :- Edge(1,
 _add("r6_loop_bounded", GRAPH + ".decl Out(c: int64)\n.output Out\nOut(b) :- Edge(1, b).\nloop while { @it <= 1 } { Out(b) :- Out(a), Edge(a, b). }", f"WITH {GRAPH_SQL}, r0 AS (SELECT b FROM e WHERE a = 1), r1 AS (SELECT e.b FROM r0 JOIN e ON r0.b = e.a), r2 AS (SELECT e.b FROM r1 JOIN e ON r1.b = e.a) SELECT b AS c FROM r0 UNION SELECT b FROM r1 UNION SELECT b FROM r2")
 _add("r7_loop_until", ".decl Num(n: int64)\n.decl Done()\n.decl Out(n: int64)\n.output Out\nNum(k) :- Supplier(k, _, _).\nOut(0) :- Num(0).\nloop until { Done } { Out(n + 1) :- Out(n), Num(n). Done() :- Out(20). }", "SELECT unnest(range(0, least(22, (SELECT count(*) + 1 FROM supplier)))) AS n")
 _add("r8_loop_or", ".decl Num(n: int64)\n.decl Done()\n.decl Out(n: int64)\n.output Out\nNum(k) :- Supplier(k, _, _).\nOut(0) :- Num(0).\nloop while { @it <= 3 } or until { Done } { Out(n + 1) :- Out(n), Num(n). Done() :- Out(6). }", "SELECT unnest(range(0, least(8, (SELECT count(*) + 1 FROM supplier)))) AS n")
+_add("r8_loop_and", ".decl Num(n: int64)\n.decl Done()\n.decl Out(n: int64)\n.output Out\nNum(k) :- Supplier(k, _, _).\nOut(0) :- Num(0).\nloop while { @it <= 3 } until { Done } { Out(n + 1) :- Out(n), Num(n). Done() :- Out(6). }", "SELECT unnest(range(0, least(5, (SELECT count(*) + 1 FROM supplier)))) AS n")
+_add("r10_same_stratum", ".decl Out(s: int64)\n.output Out\nOut(s) :- Supplier(s, _, _), s > 0, Supplier(p, _, _), p = s / 3, !Out(p).", "WITH RECURSIVE d AS (SELECT s_suppkey AS s, s_suppkey AS x, 0 AS n FROM supplier UNION ALL SELECT s, x // 3, n + 1 FROM d WHERE x > 0) SELECT s FROM d WHERE x = 0 AND n % 2 = 1")
+_add("a10_recursive_count", ".decl Par(c: int64, p: int64)\n.decl Inner(p: int64)\n.decl Out(s: int64, n: int64)\n.output Out\nPar(s, s / 3) :- Supplier(s, _, _), s > 0.\nInner(p) :- Par(_, p).\nOut(s, count(s)) :- Supplier(s, _, _), !Inner(s).\nOut(p, count(c)) :- Par(c, p), Out(c, _).", "WITH p AS (SELECT DISTINCT s_suppkey AS c, s_suppkey // 3 AS p FROM supplier WHERE s_suppkey > 0) SELECT p AS s, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT DISTINCT s_suppkey, 1 FROM supplier WHERE s_suppkey NOT IN (SELECT p FROM p)")
 _add("r9_iterative", ".decl Val(n: int64)\n.decl Out(n: int64)\n.output Out\nVal(k) :- Supplier(k, _, _).\nloop while { @it <= 4 } { .iterative Val\n Val(n * 2) :- Val(n). }\nOut(n) :- Val(n).", "SELECT DISTINCT s_suppkey * 32 AS n FROM supplier")
 
 
@@ -141,22 +147,16 @@ def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.commit()["Out"]
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relation written as delimited text and read back."""
-    folder = tempfile.mkdtemp(prefix="quern-files-")
-    first = engine(spark, sf_dir, ".decl Pair(k: int32, name: string, r: int32)\n.output Pair(delimiter=\"|\", filename=\"p.csv\")\nPair(k, n, r) :- Nation(k, n, r).")
-    first.write(f"file://{folder}")
-    back = Engine(spark, ".decl Pair(k: int32, name: string, r: int32)\n.input Pair(IO=\"file\", filename=\"p.csv\", delimiter=\"|\")\n.decl Out(k: int32, name: string)\n.output Out\nOut(k, n) :- Pair(k, n, r), r > 1.", facts=f"file://{folder}")
-    rows = back.query("Out").collect()  # the folder is this machine's: the few rows are taken before it goes
-    shutil.rmtree(Path(folder))
-    return spark.createDataFrame(rows, "k int, name string")
+def _plain_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = ".extern fn digits(x: int64) -> int32\n.decl Out(k: int64, d: int32)\n.output Out\nOut(k, digits(k)) :- Supplier(k, _, _)."
+    return engine(spark, sf_dir, rules, functions={"digits": lambda x: len(str(x))}).query("Out")
 
 
-QUERIES |= {"d1_udf": _udf, "i4_delta_insert_delete": _delta, "s1_k1_files": _files}
-ORACLES |= {
+QUERIES |= {"d1_udf": _udf, "d1_plain_function": _plain_udf, "i4_delta_insert_delete": _delta} | scenarios.QUERIES
+ORACLES |= scenarios.ORACLES | {
+    "d1_plain_function": "SELECT DISTINCT s_suppkey AS k, length(s_suppkey::VARCHAR)::INTEGER AS d FROM supplier",
     "d1_udf": "SELECT s_suppkey AS k, s_suppkey // 2 + 1 AS h FROM supplier WHERE s_suppkey % 2 = 1",
     "i4_delta_insert_delete": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey // 100 AS b FROM orders WHERE o_orderstatus = 'F'), f AS (SELECT a, b FROM e WHERE NOT (a % 3 = 1 AND a <> 1) UNION SELECT a, a + 100000 FROM e WHERE a % 5 = 2),
         r AS (SELECT b AS c FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON r.c = e.a), q AS (SELECT b AS c FROM f WHERE a = 1 UNION SELECT f.b FROM q JOIN f ON q.c = f.a)
         SELECT c, 1::INTEGER AS diff FROM q WHERE c NOT IN (SELECT c FROM r) UNION ALL SELECT c, -1 FROM r WHERE c NOT IN (SELECT c FROM q)""",
-    "s1_k1_files": "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey > 1",
 }

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DeclarationProblem
+from ..errors import DeclarationProblem, EngineProblem
 from ..functions.scalars import PRIMITIVE, text
 from ..operators.rules import UNIT
 from ..plans.types import BITS, limits
@@ -67,18 +68,28 @@ def lines_of(df: DataFrame, types: tuple, delimiter: str, more: tuple = ()) -> D
     return df.select(F.concat_ws(delimiter, *cells, *more).alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Executors write part files in order; they are then joined into one file by streams, and nothing is held in memory."""
+def write_lines(lines: DataFrame, path: str, parts: bool = False) -> None:
+    """Executors write part files in order. With parts they stay, a folder; otherwise they are joined into one file by streams.
+
+    The file comes under its name when it is whole; nothing is held in memory.
+    """
     spark = lines.sparkSession
-    parts = path + ".parts"
-    lines.write.mode("overwrite").text(parts)
+    if parts:
+        lines.write.mode("overwrite").text(path)
+        return
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    work = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    source, whole = jvm.org.apache.hadoop.fs.Path(work, "parts"), jvm.org.apache.hadoop.fs.Path(work, "whole")
     files = target.getFileSystem(conf)
-    out = files.create(target, True)
+    lines.write.text(source.toString())
+    out = files.create(whole, True)
     for name in sorted(s.getPath().toString() for s in files.listStatus(source) if s.getPath().getName().startswith("part-")):
         stream = files.open(jvm.org.apache.hadoop.fs.Path(name))
         jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
         stream.close()
     out.close()
-    files.delete(source, True)
+    files.delete(target, True)
+    if not files.rename(whole, target):
+        raise EngineProblem(f"{path} can't be written")
+    files.delete(work, True)

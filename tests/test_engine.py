@@ -63,6 +63,22 @@ def test_strings(spark):
     assert run(spark, number, A=[("+42",)]) == [(42,)] and run(spark, number, A=[(" 42",), ("99999999999",)]) == [(0,)]
 
 
+def test_patterns(spark):
+    text = '.decl A(s: string)\n.decl Out(s: string)\n.output Out\nOut(s) :- A(s), match("PATTERN", s).'
+    data = [("ab",), ("z1",), (":",), ("é",), ("(",), ("aa",), ("a\nb",)]
+    want = {"(?P<n>z)1": ["z1"], "[[:alpha:]]+": ["ab", "aa"], "[[:^alpha:]]": [":", "é", "("], "(": [], "(a)\\\\1": [], "a(?=b).": [], "[a-z--[b-z]]+": ["aa"], r"\\w": ["é"], "a.b": [], "(?s)a.b": ["a\nb"]}
+    for pattern, found in want.items():
+        assert run(spark, text.replace("PATTERN", pattern), A=data) == sorted(((x,) for x in found), key=repr), pattern
+    columns = ".decl A(p: string, s: string)\n.decl Out(p: string)\n.output Out\nOut(p) :- A(p, s), match(p, s)."
+    assert run(spark, columns, A=[(p.replace("\\\\", "\\"), "ab") for p in want]) == [("[[:alpha:]]+",)]
+
+
+def test_ord(spark):
+    text = '.decl A(s: string)\n.decl Out(s: string, n: int32)\n.output Out\nOut(s, ord(s)) :- A(s).\nOut("k", ord("k")) :- A("a").\n.decl B(n: int32)\n.output B\nB(ord(cat(s, "!"))) :- A(s).'
+    assert run(spark, text, A=[("b",), ("a",), ("a",)]) == [("a", 1), ("b", 2), ("k", 3)]
+    assert all(n < 0 for (n,) in run(spark, text, "B", A=[("b",), ("a",)]))
+
+
 def test_tuples(spark):
     text = """.type P = (a: int32, b: string)\n.decl A(a: int32, b: string)\n.decl T(p: P)\n.decl Out(a: int32)\n.output Out
     T((a, b)) :- A(a, b).\nOut(a) :- T(p), (a, "x") = p."""
