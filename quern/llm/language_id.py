@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, held_out
-from .shared import map_arrow, small_batches
+from .shared import free_names, map_arrow, small_batches
 from .textkit import LOWER, chunks
 
 PER_CLASS, LANDMARKS, RIDGE = 256, 128, 1e-3
@@ -168,13 +168,13 @@ def _score(model):
 
 
 def identify(docs: DataFrame, model: KernelModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred and score of every text, and the columns to keep under their own names."""
+    """doc_id, lang_pred and score of every text; with columns to keep, __doc_id, __lang_pred and __score (underscores appended where taken) and then those."""
     small_batches(docs.sparkSession)
     keep = keep or []
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("text").rlike(r"\p{L}"), *[F.col(f"`{c}`") for c in keep]).toDF("doc_id", "text", "letters", *[f"c{i}" for i in range(len(keep))])
     kinds = dict(docs.dtypes)
     out = map_arrow(rows, _score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double" + "".join(f", c{i} {kinds[c]}" for i, c in enumerate(keep)))
-    return out.toDF("__doc_id", "__lang_pred", "__score", *keep) if keep else out
+    return out.toDF(*free_names(keep, "__doc_id", "__lang_pred", "__score"), *keep) if keep else out
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

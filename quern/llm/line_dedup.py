@@ -14,7 +14,8 @@ except in the largest doc_id that holds it.
 
 Defined cases. A null or empty text is one empty line; a null text stays null where it loses none.
 Rows are documents: repeated rows count each, and those of the largest doc_id all keep the line. A
-null doc_id is never the largest. All columns of the input are returned, in their order; an empty
+null doc_id is never the largest. All columns of the input are returned, in their order, and then
+__n_lines and __n_dropped, which get underscores appended where the input has such columns; an empty
 table gives an empty result.
 """
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, map_arrow, partitions, small_batches
+from .shared import Scratch, free_names, map_arrow, partitions, small_batches
 from .textkit import IS_WS, LOWER, chunks, hash_runs, mix64
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -200,7 +201,7 @@ def _drop_known(names: list[str], at: int, own: int, filter_, repeated, min_char
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """The documents with repeated lines dropped, and two more columns: __n_lines (before) and __n_dropped."""
+    """The documents with repeated lines dropped, and two more columns, the last: __n_lines (before) and __n_dropped."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "line_dedup")
@@ -230,7 +231,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
         drops = scratch.table(drops, "drops")
         joined = numbered.join(drops, F.col(f"c{own}").cast("long").eqNullSafe(drops["__drop_id"]), "left").drop("__drop_id")
         out = map_arrow(joined, _drop(numbered.columns, at, min_chars), schema)
-    return out.toDF(*names, "__n_lines", "__n_dropped")
+    return out.toDF(*names, *free_names(names, "__n_lines", "__n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

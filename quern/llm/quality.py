@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, held_out
-from .shared import map_arrow, small_batches
+from .shared import free_names, map_arrow, small_batches
 from .textkit import CHUNK_BYTES, IS_WS, chunks, hash_runs
 
 PER_CLASS, PASSAGE_WORDS, THRESHOLD = 400, 64, 0.7
@@ -155,13 +155,13 @@ def _score(model):
 
 
 def score(docs: DataFrame, model: Attention | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id and score of every text, and the columns to keep under their own names."""
+    """doc_id and score of every text; with columns to keep, __doc_id and __score (underscores appended where taken) and then those."""
     small_batches(docs.sparkSession)
     keep = keep or []
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(f"`{c}`") for c in keep]).toDF("doc_id", "text", *[f"c{i}" for i in range(len(keep))])
     kinds = dict(docs.dtypes)
     out = map_arrow(rows, _score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double" + "".join(f", c{i} {kinds[c]}" for i, c in enumerate(keep)))
-    return out.toDF("__doc_id", "__score", *keep) if keep else out
+    return out.toDF(*free_names(keep, "__doc_id", "__score"), *keep) if keep else out
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,16 @@ def _column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores appended while a column of that name is there already."""
+    seen, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in seen:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def longs(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's signed ones, bit by bit."""
     return x.view(np.int64)

@@ -31,6 +31,27 @@ def test_line_dedup(spark, options):
     assert sum(x[1] for x in got.values()) > 20
 
 
+def test_clashing_names(spark):
+    """Columns named like the operators' own stay what they are."""
+    names = ["__n_lines", "__n_dropped", "__doc_id", "__lang_pred", "__score", "__drops"]
+    docs = spark.createDataFrame([(i, "some words of a text " * 3, "en", *range(6)) for i in range(6)], ["doc_id", "text", "lang", *names])
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.columns == [*docs.columns, "__n_lines_", "__n_dropped_"] and {(r["__n_lines"], r["__n_lines_"]) for r in lines.collect()} == {(0, 1)}
+    assert line_dedup.dedup_lines(docs, broadcast_keys=0).agg(F.sum("__n_dropped_")).first()[0] == 5
+    said = language_id.identify(docs, language_id.fit(docs), docs.columns)
+    assert said.columns[:3] == ["__doc_id_", "__lang_pred_", "__score_"] and {r["__score"] for r in said.collect()} == {4}
+    scored = quality.score(docs, None, docs.columns)
+    assert scored.columns[:2] == ["__doc_id_", "__score_"] and {(r["__score"], r["__score_"]) for r in scored.collect()} == {(4, 0.5)}
+
+
+def test_sample_of_repeated_rows(spark):
+    """A label all of whose rows share one key keeps some of them."""
+    for key in range(4):
+        df = spark.range(5000).select(F.lit(key).alias("doc_id"), F.lit("one").alias("lang")).union(spark.range(3000).select("id", F.lit("two")))
+        got = dict(bounded_sample(df, "lang", 20).groupBy("lang").count().collect())
+        assert got == {"one": 20, "two": 20}
+
+
 def test_line_dedup_rows(spark):
     line = "l" * 50
     rows = [(7, line, *[None] * 7)] * 2 + [(i, line + "\nown", *[None] * 7) for i in (1, 2, None)]
