@@ -22,19 +22,21 @@ BROADCAST_IDS = 1 << 20
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     out = language_id.identify(docs, language_id.fit(docs), docs.columns)
-    return out.filter((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    _, lang, score = out.columns[:3]
+    return out.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, docs.columns).filter(F.col("__score") >= (quality.THRESHOLD if model else 0)).select(*docs.columns)
+    out = quality.score(docs, model, docs.columns)
+    return out.filter(F.col(out.columns[1]) >= (quality.THRESHOLD if model else 0)).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
     out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col(out.columns[-1]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
