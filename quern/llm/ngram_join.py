@@ -12,8 +12,9 @@ k words is one token. Equal sets form one class and are compared once. Repeated
 with each other; rows whose doc_id is null get n_shingles and a null component_id. Any further
 columns of the input are ignored. An empty table gives an empty result.
 
-Counts are over all documents. The classes reach the tasks as two bit maps of fixed size
-(class_bits); a false hit only makes a rare token frequent, which costs time and no result.
+Counts are over all documents. The classes reach the tasks as two bit maps, whose size follows the number
+of frequent tokens up to MOST_BITS; a false hit only makes a rare token frequent, which costs time and no
+result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ from .textkit import mix64, shingle_sets, splitmix
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-CLASS_BITS = 1 << 23
+#: Bits of a map that is broadcast, for each value in it and within these bounds (128 KB to 32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+#: Large buckets up to which a row of 48 bytes for each is broadcast to their members; beyond, members are shuffled.
+BROADCAST_BUCKETS = 1 << 19
 #: Documents with a token in their plain prefix above which it is frequent, and very frequent.
 FREQUENT = (16, 1024)
 #: Index entries up to which a signature's documents are paired one by one.
@@ -52,6 +56,11 @@ _GROUP = splitmix(64, 37)
 ENTRY = np.dtype([("sig", "<u4"), ("high", "<u2"), ("cls", "<i8"), ("told", "<u4")])
 
 
+def map_bits(values: int) -> int:
+    """Size of a bit map for so many values."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * values).bit_length()))
+
+
 def overlap(n: int | np.ndarray, percent: int):
     """Tokens that a set of n shares at least with any set similar enough."""
     return -(-percent * n // 100)
@@ -132,24 +141,30 @@ def _frequent(limits: tuple[int, int]):
     return run
 
 
-def _classes(spark: SparkSession, counts: DataFrame, bits: int, limits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bit maps of frequent and very frequent codes: bits / 8 bytes each, whatever the input's size."""
-    codes = map_arrow(counts, _frequent(limits), "code long, very boolean")
+def _classes(counts: DataFrame, bits: int | None, limits: tuple[int, int], scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Bit maps of frequent and very frequent codes, packed; bits: their size, else from the number of codes."""
+    codes, n, _ = scratch.counted(map_arrow(counts, _frequent(limits), "code long, very boolean"))
+    bits = bits or map_bits(n)
     words = codes.withColumn("bit", F.col("code") % bits)
     one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
     words = words.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("often"), F.coalesce(F.bit_or(F.when(F.col("very"), one)), F.lit(0)).alias("very"))
     maps = np.zeros((2, bits // 64), np.int64)
     for row in words.collect():  # at most bits / 64 rows
         maps[0, row.word], maps[1, row.word] = row.often, row.very
-    return tuple(np.unpackbits(m.view(np.uint8), bitorder="little").astype(bool) for m in maps)
+    return maps[0].view(np.uint8), maps[1].view(np.uint8)
+
+
+def holds(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which bits of a packed map are set."""
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def signatures(s: np.ndarray, often: np.ndarray, very: np.ndarray, percent: int = PERCENT, slack: int = SLACK) -> tuple[np.ndarray, int, np.ndarray]:
     """(tokens indexed singly, how many rare ones its prefix has, hashes of combinations) of a sorted set."""
     n = len(s)
     need = n - overlap(n, percent) + 1
-    at = (s.astype(np.uint32) % np.uint32(len(often))).astype(np.int64)
-    common = often[at]
+    at = s.astype(np.uint32).astype(np.int64) % (8 * len(often))
+    common = holds(often, at)
     larger = n * 100 // percent
     # two sets meet at the level of the larger one; below LEAST_LEVEL sets are too small for combinations
     levels = sorted({n.bit_length() - 1, larger.bit_length() - 1})
@@ -162,7 +177,7 @@ def signatures(s: np.ndarray, often: np.ndarray, very: np.ndarray, percent: int
     singles = rare[: need + slack]
     if len(singles) >= need:
         return (np.union1d(singles, plain), 0, np.zeros(0, np.uint64)) if mixed else (singles, len(singles), np.zeros(0, np.uint64))
-    s, three = s[common], very[at[common]]
+    s, three = s[common], holds(very, at[common])
     s = np.concatenate([s[~three], s[three]])
     two = int((~three).sum())
     found: set[int] = set()
@@ -294,13 +309,13 @@ def _needed_sets(k: int, maps):
         seen: set[int] = set()
         for batch in batches:
             ids = np.array([0 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            hit = bloom[(mix64(ids.view(np.uint64)) % np.uint64(len(bloom))).astype(np.int64)] & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            hit = holds(bloom, (mix64(ids.view(np.uint64)) % np.uint64(8 * len(bloom))).astype(np.int64)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             if not hit.any():
                 continue
             at = pa.array(np.flatnonzero(hit))
             sets = list(shingle_sets(batch.column(1).take(at), k))
             cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            some = classes[(mix64(np.array(cls, np.int64).view(np.uint64)) % np.uint64(len(classes))).astype(np.int64)]
+            some = holds(classes, (mix64(np.array(cls, np.int64).view(np.uint64)) % np.uint64(8 * len(classes))).astype(np.int64))
             out = {c: s for c, s, ok in zip(cls, sets, some.tolist(), strict=True) if ok and c not in seen}
             seen.update(out)
             if out:
@@ -375,16 +390,16 @@ def _block(percent: int):
 def _sets_of(docs: DataFrame, profile: DataFrame, needed: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
     """(cls, tokens) of the needed classes, and of few others; some classes may come more than once.
 
-    Two Bloom filters of fixed size, of the doc_ids and of the classes, spare the other documents' hashing
+    Two Bloom filters, of the doc_ids and of the classes, spare the other documents' hashing
     and keep their sets out, so that no texts or sets are shuffled to choose them.
     """
-    spark, bits = docs.sparkSession, 1 << 23
-    ids = scratch.table(needed.distinct().join(profile, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), f"{name}_ids")
+    ids, n, _ = scratch.counted(needed.distinct().join(profile, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    spark, bits = docs.sparkSession, map_bits(n)
     words = map_arrow(ids.select("doc_id", "cls"), _bloom_bits(bits), "filter int, word long, mask long").groupBy("filter", "word").agg(F.bit_or("mask").alias("mask"))
     filters = np.zeros((2, bits // 64), np.int64)
     for row in words.collect():  # at most 2 * bits / 64 rows
         filters[row["filter"], row.word] = row.mask
-    filters = tuple(np.unpackbits(x.view(np.uint8), bitorder="little").astype(bool) for x in filters)
+    filters = tuple(x.view(np.uint8) for x in filters)
     return scratch.table(map_arrow(docs, _needed_sets(k, spark.sparkContext.broadcast(filters)), "cls long, tokens binary"), name)
 
 
@@ -398,7 +413,13 @@ def _bloom_bits(bits: int):
     return run
 
 
-def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, class_bits: int = CLASS_BITS, frequent: tuple[int, int] = FREQUENT, small: int = SMALL, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
+def _spread(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row for each bucket, as a table for joins with the buckets' members: these stay where they are, unless the buckets are too many to broadcast."""
+    table, n, _ = scratch.counted(rows)
+    return F.broadcast(table) if n <= BROADCAST_BUCKETS else table.hint("merge")
+
+
+def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, class_bits: int | None = None, frequent: tuple[int, int] = FREQUENT, small: int = SMALL, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
     """(profile, edges): a row (doc_id, n, cls) per document, and links between classes of equal sets that connect every component."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -408,7 +429,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     both = scratch.table(map_arrow(docs, _profile(k, percent, shards), "doc_id long, n int, cls long, shard int, counts binary"), "profile")
     profile = both.filter("shard is null").select("doc_id", "n", "cls")
     counts = both.filter("shard is not null").select("shard", "counts").repartition(tasks, "shard")
-    maps = spark.sparkContext.broadcast(_classes(spark, counts, class_bits, frequent))
+    maps = spark.sparkContext.broadcast(_classes(counts, class_bits, frequent, scratch))
     index = map_arrow(docs, _index(k, percent, shards, maps, slack), "shard int, entries binary")
     met = map_arrow(index.repartition(tasks, "shard").drop("shard"), _meet(percent, small), "a long, b long, na long, nb long, ra long, rb long, rare long, bucket long")
     met = scratch.table(met, "met")
@@ -421,10 +442,10 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     large = met.filter("bucket is not null").select("bucket", F.col("a").alias("cls"))
     # large buckets with the same smallest hash of a member (a min-hash) are mostly alike: together they are one bucket, all
     # of whose members have met that member, and a document is in few of them
-    lows = large.groupBy("bucket").agg(F.min(F.xxhash64("cls")).alias("low"))
+    lows = _spread(large.groupBy("bucket").agg(F.min(F.xxhash64("cls")).alias("low")), scratch)
     large = scratch.table(large.join(lows, "bucket").select(F.col("low").alias("bucket"), "cls").distinct(), "large")
     spread = F.pmod(F.xxhash64("cls"), F.lit(LEADERS))
-    heads = large.groupBy("bucket").agg(F.array_compact(F.array(*[F.min(F.when(spread == i, F.col("cls"))) for i in range(LEADERS)])).alias("leaders"))
+    heads = _spread(large.groupBy("bucket").agg(F.array_compact(F.array(*[F.min(F.when(spread == i, F.col("cls"))) for i in range(LEADERS)])).alias("leaders")), scratch)
     stars = large.join(heads, "bucket").select("cls", F.explode("leaders").alias("lead")).filter("cls != lead").distinct()
     stars = stars.withColumn("rank", F.row_number().over(Window.partitionBy("cls").orderBy("lead"))).filter(F.col("rank") <= LEADERS).select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
     pairs = scratch.table(pairs.union(stars).distinct(), "pairs")
@@ -448,7 +469,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     open_ = scratch.table(open_.select("bucket", F.col("top.comp").alias("most"), ((F.col("size") + BLOCK - 1) / BLOCK).cast("int").alias("blocks"), ((F.col("size") - F.col("top.n") + ASKING - 1) / ASKING).cast("int").alias("parts")), "open")
     if open_.isEmpty():
         return profile, edges
-    members = members.join(open_, "bucket")
+    members = members.join(_spread(open_, scratch), "bucket")
     part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sets = _sets_of(docs, profile, members.select("cls"), k, scratch, "block_sets")
@@ -476,5 +497,23 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.when(~empty, F.col("n_copies")).alias("n_copies"))
 
 
+#: All pairs that share a shingle, and their components.
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE_WORDS} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {SHINGLE_WORDS} + 2), lambda i: array_to_string(w[i : i + {SHINGLE_WORDS} - 1], ' ')) END) AS g FROM w),
+c AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS same FROM g),
+k AS (SELECT doc_id, n, CASE WHEN n > 0 THEN count(*) OVER (PARTITION BY same) END AS n_copies, min(doc_id) OVER (PARTITION BY same, n > 0 OR NULL) AS first, same FROM c),
+s AS (SELECT doc_id, unnest(g) AS x FROM g WHERE doc_id IN (SELECT min(doc_id) FROM c GROUP BY same)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c x ON a = x.doc_id JOIN c y ON b = y.doc_id WHERE 100 * m >= {PERCENT} * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS v, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a WHERE r.c < e.b),
+t AS (SELECT v, min(c) AS c FROM r GROUP BY 1)
+SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.n = 0 THEN k.doc_id ELSE coalesce(t.c, k.first) END AS component_id, k.n_copies
+FROM k LEFT JOIN t ON k.first = t.v
+"""
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

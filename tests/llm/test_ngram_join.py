@@ -76,7 +76,8 @@ def test_signatures_cover_similar_sets():
         if 100 * shared < 75 * (len(x) + len(y) - shared):
             continue
         often, very = r.random(1 << 12) < (0, 0.5, 0.9, 1)[trial % 4], r.random(1 << 12) < 0.5
-        parts = [op.signatures(s, often, very & often) for s in (x, y)]
+        maps = [np.packbits(m, bitorder="little") for m in (often, very & often)]
+        parts = [op.signatures(s, *maps) for s in (x, y)]
         (a, _, ca), (b, _, cb) = parts
         assert len(np.intersect1d(a, b)) + len(np.intersect1d(ca, cb)) > 0
 
