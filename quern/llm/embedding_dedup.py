@@ -8,9 +8,9 @@ label are verified by cosine in double precision.
 
 For a target recall below 1 the bound is calibrated on the sampled pairs above the threshold (SLACK times
 what they need, and FLOOR of what the threshold implies at least); for 1 it is what the threshold
-implies, and no pair is missed. A cell is worked on in blocks of BLOCK vectors against the vectors that
-visit it, as matrix products that give counts and spanning forests, never pairs; so a hot cell or
-label is many tasks. A pair found from one side counts for both.
+implies, and no pair is missed. A cell is worked on in blocks of BLOCK vectors against parts of ASKING
+vectors that visit it, as matrix products that give counts and spanning forests, never pairs; so a hot cell
+or label is many tasks, and each holds a bounded number of vectors. A pair found from one side counts for both.
 
 Equal vectors form one class, compared once and counted with its size. The codebooks come from a
 bounded sample (SAMPLE classes, those with the smallest hashes); every row is indexed.
@@ -37,8 +37,8 @@ from .graph import components, forest
 from .shared import Scratch, map_arrow, partitions, small_batches
 
 THRESHOLD, RECALL = 0.98, 0.999
-SAMPLE, ROUNDS, BLOCK = 4096, 12, 1024
-#: Classes of a label that a cell holds on average; codebooks have between 4 and 256 centroids.
+SAMPLE, ROUNDS, BLOCK, ASKING = 4096, 12, 1024, 4096
+#: Classes of a label that a cell holds on average; codebooks have between 4 and 1024 centroids.
 PER_CELL = 256
 SLACK, FLOOR = 4.0, 0.1
 
@@ -124,16 +124,24 @@ def vectors_of(data, single: bool) -> np.ndarray:
 
 
 def _rows(batch: pa.RecordBatch, single: bool) -> Iterator[dict]:
-    if batch.num_rows:
-        ids, labels, vectors = (c.to_pylist() for c in batch.columns[:3])
-        cls, data = [], []
-        for i, label, v in zip(ids, labels, vectors, strict=True):
-            ok = i is not None and label is not None and v and None not in v
-            x = np.array(v, np.float64) if ok else None
-            ok = ok and np.isfinite(x).all() and (x != 0).any()
-            data.append((x.astype(np.float32) if single else x).tobytes() if ok else None)
-            cls.append(xxhash.xxh3_64_intdigest(f"{label}|".encode() + data[-1]) - (1 << 63) if ok else None)
-        yield {"vec_id": ids, "label": labels, "cls": cls, "data": data}
+    """Whole columns at a time: which lists hold finite numbers only, and not only zeros; the sound ones' bytes."""
+    if not batch.num_rows:
+        return
+    lists = batch.column(2)
+    lists = lists.cast(pa.large_list(pa.float64())) if not pa.types.is_large_list(lists.type) else lists
+    start = lists.offsets.to_numpy()
+    size = np.diff(start)
+    flat = lists.values.fill_null(np.nan).to_numpy(zero_copy_only=False)
+    bad, some = (np.concatenate([[0], np.cumsum(x)]) for x in (~np.isfinite(flat), flat != 0))
+    ok = lists.is_valid().to_numpy(zero_copy_only=False) & (bad[start[1:]] == bad[start[:-1]]) & (some[start[1:]] > some[start[:-1]])
+    ok &= batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore"):
+        raw = np.ascontiguousarray(flat.astype(np.float32) if single else flat).view(np.uint8).tobytes()
+    width = 4 if single else 8
+    labels = batch.column(1).fill_null(0).to_numpy()
+    data = [raw[a * width : (a + n) * width] if good else None for a, n, good in zip(start[:-1].tolist(), size.tolist(), ok.tolist(), strict=True)]
+    cls = [None if x is None else xxhash.xxh3_64_intdigest(x, seed=int(label) & (2**64 - 1)) - (1 << 63) for x, label in zip(data, labels.tolist(), strict=True)]
+    yield {"vec_id": batch.column(0), "label": batch.column(1), "cls": cls, "data": data}
 
 
 def _place(index, single: bool):
@@ -161,7 +169,7 @@ def _place(index, single: bool):
 
 
 def _verify(index, threshold: float, single: bool):
-    """Of each (label, cell, block): links counted for both sides, and a forest of them. Rows come sorted by that key."""
+    """Of each (label, cell, block, part): links counted for both sides, and a forest of them. Rows come sorted by that key."""
 
     def work(x: pa.Table) -> Iterator[dict]:
         m: MultiIndex = index.value
@@ -199,7 +207,7 @@ def _verify(index, threshold: float, single: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([c.to_numpy() for c in batch.columns[:3]])
+            key = np.stack([c.to_numpy() for c in batch.columns[:4]])
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             bounds = [0, *cut.tolist(), batch.num_rows]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -224,7 +232,7 @@ def fit(classes: DataFrame, count: int, threshold: float, recall: float, single:
     usual = Counter(len(r.data) for r in rows).most_common(1)[0][0]
     sample = vectors_of([bytes(r.data) for r in rows if len(r.data) == usual], single)
     labels = len({r.label for r in rows})
-    k = int(np.clip(2 ** round(np.log2(max(1, count / labels / PER_CELL)) / 2), 4, 256))
+    k = int(np.clip(2 ** round(np.log2(max(1, count / labels / PER_CELL)) / 2), 4, 1024))
     return MultiIndex(sample, k, threshold, recall)
 
 
@@ -245,10 +253,15 @@ def dedup(embeddings: DataFrame, *, threshold: float = THRESHOLD, recall: float
         return alone
     shared = spark.sparkContext.broadcast(index)
     placed = scratch.table(map_arrow(classes.select("cls", "label", "data", "n"), _place(shared, single), "label long, cell long, cls long, n long, data binary, ask boolean"), "placed")
-    blocks = placed.filter("not ask").groupBy("label", "cell").agg(((F.count("*") + BLOCK - 1) / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, ["label", "cell"])
-    every = F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))))
-    dealt = dealt.select("label", "cell", every.alias("block"), "cls", "n", "data", "ask").repartition(partitions(spark), "label", "cell", "block").sortWithinPartitions("label", "cell", "block")
+    several = lambda of, size: F.ceil(F.count(F.when(of, 1)) / size).cast("int")
+    blocks = placed.groupBy("label", "cell").agg(several(~F.col("ask"), BLOCK).alias("blocks"), several(F.col("ask"), ASKING).alias("parts")).filter("blocks > 0 and parts > 0")
+    dealt = placed.join(scratch.table(blocks, "blocks"), ["label", "cell"])
+    # a point is in one block and meets all parts of the askers, an asker is in one part and meets all blocks
+    one = lambda n, salt: F.array(F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n).cast("long")).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = dealt.select("label", "cell", F.when(F.col("ask"), every("blocks")).otherwise(one("blocks", 1)).alias("in_blocks"), F.when(F.col("ask"), one("parts", 2)).otherwise(every("parts")).alias("in_parts"), "cls", "n", "data", "ask")
+    dealt = dealt.select("label", "cell", F.explode("in_blocks").alias("block"), "in_parts", "cls", "n", "data", "ask").select("label", "cell", "block", F.explode("in_parts").alias("part"), "cls", "n", "data", "ask")
+    dealt = dealt.repartition(partitions(spark), "label", "cell", "block", "part").sortWithinPartitions("label", "cell", "block", "part")
     found = scratch.table(map_arrow(dealt, _verify(shared, threshold, single), "cls long, links long, a long, b long"), "found")
     scratch.drop("placed")
     comp = components(found.filter("a is not null").select("a", "b"), scratch, "comp")
@@ -261,5 +274,19 @@ def dedup(embeddings: DataFrame, *, threshold: float = THRESHOLD, recall: float
     return linked.union(alone)
 
 
+#: All pairs of a label, and their components.
+OP8_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1),
+r AS (SELECT DISTINCT a AS v, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a WHERE r.c < e.b),
+t AS (SELECT v, min(c) AS c FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(t.c, vec_id) AS component_id, vec_id = coalesce(t.c, vec_id) AS kept
+FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN t ON vec_id = t.v
+"""
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op5_warc": warc.OP5_SQL, "op9_url_filter": url_filter.OP9_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+ORACLES = {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op5_warc": warc.OP5_SQL, "op8_embedding_dedup": embedding_dedup.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
