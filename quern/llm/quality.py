@@ -58,6 +58,7 @@ def passages(texts: pa.Array, words: int = PASSAGE_WORDS, size: int = CHUNK_BYTE
         size_ = np.maximum(counts.sum(axis=1), 1)
         n = np.maximum(np.bincount(own, minlength=total), 1)
         more = np.zeros((total, 5))
+        more[:, 2] = size_ / n / 10  # mean length; of no word, as of one letter
         if len(head):
             h = hash_runs(raw[ink], head, length)
             order = np.lexsort((h, own))
@@ -66,7 +67,6 @@ def passages(texts: pa.Array, words: int = PASSAGE_WORDS, size: int = CHUNK_BYTE
             at = np.flatnonzero(new)
             np.maximum.at(more[:, 1], own[order][at], np.diff(np.append(at, len(order))))
             more[:, 1] /= n  # share of the most frequent word
-            more[:, 2] = size_ / n / 10  # mean length
             single = np.bincount(own, weights=length == 1, minlength=total)
             more[:, 3] = single / n
         more[:, 4] = np.log1p(np.bincount(own, minlength=total)) / 4

@@ -332,3 +332,78 @@ def test_language_id_rejects_noise(spark):
         assert {x.lang_pred for x in language_id.identify(frame(spark, noise), model).collect()} == {"und"}
         clean = language_id.identify(some.filter(held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")), model).collect()
         assert len(clean) > 100 and sum(x.lang_pred == "und" for x in clean) == 0
+
+
+# classifiers, by plain loops
+def plain_grams(text):
+    """Places of a text's byte n-grams of 1 to 3 bytes."""
+    data = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+    out, base = set(), 0
+    for n, places in enumerate(language_id.PLACES, 1):
+        for i in range(len(data) - n + 1):
+            code = int.from_bytes(data[i : i + n], "big")
+            out.add(base + (code if n == 1 else (code * 2654435761 & 0xFFFFFFFF) >> 33 - places.bit_length()))
+        base += places
+    return out
+
+
+def test_language_scores_by_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    r = seeded(12)
+    words = {"aa": ["the", "house", "and", "wood"], "bb": ["der", "Haus", "über", "Wald"], "cc": ["la", "maison", "forêt", "et"]}
+    make = lambda c: " ".join(r.choices(words[c], k=r.randint(1, 30)))
+    labels = [c for c in words for _ in range(12)]
+    texts = [make(c) for c in labels]
+    tried = texts[:4] + ODD + [make("bb") * 300, "Ж" * 40]
+    sets = [plain_grams(t) for t in tried]
+    grams = np.concatenate(list(language_id.presence(pa.array(tried))))
+    assert [set(np.flatnonzero(g).tolist()) for g in grams] == sets
+    model = language_id.KernelModel(np.concatenate(list(language_id.presence(pa.array(texts)))), labels, 9)
+    # the landmarks: the first three texts of each class; ridge regression on the Nyström map, solved anew
+    marks = [plain_grams(texts[12 * c + i]) for i in range(3) for c in range(3)]
+    kernel = lambda a, b: len(a & b) / (max(1, len(a)) ** 0.5 * max(1, len(b)) ** 0.5)
+    among = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(among)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    mapped = lambda of: np.column_stack([np.array([[kernel(plain_grams(t), m) for m in marks] for t in of]) @ root, np.ones(len(of))])
+    x, y = mapped(texts), np.array([[1.0 if c == k else -1.0 for k in sorted(words)] for c in labels])
+    weights = np.linalg.solve(x.T @ x + language_id.RIDGE * len(x) / x.shape[1] * np.eye(x.shape[1]), x.T @ y)
+    assert np.abs(model.scores(grams) - mapped(tried) @ weights).max() < 1e-4
+
+
+def test_quality_scores_by_brute_force():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = seeded(13)
+    texts = [*ODD, prose(r, 64), prose(r, 65), prose(r, 300), "one one two"]
+    model = quality.Attention(3)
+    model.mean, model.std = np.linspace(0, 0.3, quality.N_FEATURES), np.linspace(0.5, 1.5, quality.N_FEATURES)
+
+    def features(words):
+        data = b"".join(words)
+        size, n = max(1, len(data)), max(1, len(words))
+        shares = [0.0] * quality.N_CLASSES
+        for c in data:
+            shares[quality.BYTE_CLASS[c]] += 1
+        low = [w.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for w in words]
+        most = max((low.count(w) for w in low), default=0)
+        return [math.sqrt(s / size) for s in shares] + [len(set(low)) / n, most / n, size / n / 10, sum(len(w) == 1 for w in words) / n, math.log1p(len(words)) / 4]
+
+    p = model.p
+    for text, got in zip(texts, np.concatenate([model.scores(x, n) for x, n in quality.passages(pa.array(texts))]), strict=True):
+        words = (text or "").encode().split()  # bytes split at ASCII white space only
+        encoded, attention = [], []
+        for k in range(max(1, -(-len(words) // 64))):
+            x = (np.array(features(words[64 * k : 64 * k + 64])) - model.mean) / model.std
+            e = [math.tanh(sum(x[i] * p["W"][i, j] for i in range(len(x))) + p["b"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(e[i] * p["V"][i, j] for i in range(len(e)))) / (1 + math.exp(-sum(e[i] * p["U"][i, j] for i in range(len(e))))) for j in range(quality.HIDDEN)]
+            encoded.append(e)
+            attention.append(math.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+        z = [sum(a * e[j] for a, e in zip(attention, encoded, strict=True)) / sum(attention) for j in range(quality.HIDDEN)]
+        assert abs(got - 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["d"][0])))) < 1e-9
