@@ -37,7 +37,7 @@ from .graph import components, forest
 from .shared import Scratch, map_arrow, partitions, small_batches
 
 THRESHOLD, RECALL = 0.98, 0.999
-SAMPLE, ROUNDS, BLOCK, ASKING = 4096, 12, 1024, 4096
+SAMPLE, ROUNDS, BLOCK, ASKING = 4096, 12, 512, 512
 #: Classes of a label that a cell holds on average; codebooks have between 4 and 1024 centroids.
 PER_CELL = 256
 SLACK, FLOOR = 4.0, 0.1
