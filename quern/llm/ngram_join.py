@@ -387,13 +387,13 @@ def _block(percent: int):
     return run
 
 
-def _sets_of(docs: DataFrame, profile: DataFrame, needed: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
+def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int, scratch: Scratch, name: str) -> DataFrame:
     """(cls, tokens) of the needed classes, and of few others; some classes may come more than once.
 
     Two Bloom filters, of the doc_ids and of the classes, spare the other documents' hashing
     and keep their sets out, so that no texts or sets are shuffled to choose them.
     """
-    ids, n, _ = scratch.counted(needed.distinct().join(profile, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    ids, n, _ = scratch.counted(needed.distinct().join(classes, "cls").select("cls", F.col("first").alias("doc_id")))
     spark, bits = docs.sparkSession, map_bits(n)
     words = map_arrow(ids.select("doc_id", "cls"), _bloom_bits(bits), "filter int, word long, mask long").groupBy("filter", "word").agg(F.bit_or("mask").alias("mask"))
     filters = np.zeros((2, bits // 64), np.int64)
@@ -419,8 +419,8 @@ def _spread(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return F.broadcast(table) if n <= BROADCAST_BUCKETS else table.hint("merge")
 
 
-def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, class_bits: int | None = None, frequent: tuple[int, int] = FREQUENT, small: int = SMALL, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
-    """(profile, edges): a row (doc_id, n, cls) per document, and links between classes of equal sets that connect every component."""
+def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: int = PERCENT, *, class_bits: int | None = None, frequent: tuple[int, int] = FREQUENT, small: int = SMALL, slack: int = SLACK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row (doc_id, n, cls) per document; one (cls, first, n_copies) per class of equal sets; and links between classes that connect every component."""
     spark = docs.sparkSession
     small_batches(spark)
     tasks = partitions(spark)
@@ -428,6 +428,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = scratch.table(map_arrow(docs, _profile(k, percent, shards), "doc_id long, n int, cls long, shard int, counts binary"), "profile")
     profile = both.filter("shard is null").select("doc_id", "n", "cls")
+    classes = scratch.table(profile.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies")), "classes")
     counts = both.filter("shard is not null").select("shard", "counts").repartition(tasks, "shard")
     maps = spark.sparkContext.broadcast(_classes(counts, class_bits, frequent, scratch))
     index = map_arrow(docs, _index(k, percent, shards, maps, slack), "shard int, entries binary")
@@ -449,7 +450,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     stars = large.join(heads, "bucket").select("cls", F.explode("leaders").alias("lead")).filter("cls != lead").distinct()
     stars = stars.withColumn("rank", F.row_number().over(Window.partitionBy("cls").orderBy("lead"))).filter(F.col("rank") <= LEADERS).select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
     pairs = scratch.table(pairs.union(stars).distinct(), "pairs")
-    sets = _sets_of(docs, profile, pairs.select(F.explode(F.array("a", "b")).alias("cls")), k, scratch, "sets")
+    sets = _sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")), k, scratch, "sets")
     # a class with many partners is dealt over several tasks by salt
     wide = pairs.groupBy("a").agg((F.count("*") / 512).cast("int").alias("salts"))
     salted = pairs.join(wide, "a").select("a", F.pmod(F.hash("b"), F.col("salts") + 1).alias("salt"), "b")
@@ -458,7 +459,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     dealt = own.union(partners).repartition(tasks, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     edges = scratch.table(map_arrow(dealt, _verify(percent), "a long, b long"), "edges")
     if large.isEmpty():
-        return profile, edges
+        return profile, classes, edges
     # what stars can't settle: buckets whose members are still in several components. Of two such members one at least
     # is outside the bucket's largest component; those outside meet every block of the bucket
     comp = components(edges, scratch, "near")
@@ -468,22 +469,21 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     open_ = of.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
     open_ = scratch.table(open_.select("bucket", F.col("top.comp").alias("most"), ((F.col("size") + BLOCK - 1) / BLOCK).cast("int").alias("blocks"), ((F.col("size") - F.col("top.n") + ASKING - 1) / ASKING).cast("int").alias("parts")), "open")
     if open_.isEmpty():
-        return profile, edges
+        return profile, classes, edges
     members = members.join(_spread(open_, scratch), "bucket")
     part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sets = _sets_of(docs, profile, members.select("cls"), k, scratch, "block_sets")
+    sets = _sets_of(docs, classes, members.select("cls"), k, scratch, "block_sets")
     asked = members.filter("comp != most").select("bucket", "cls", "comp", every("blocks").alias("block"), part("parts").alias("part"), F.lit(0).alias("side"))
     cells = members.select("bucket", "cls", "comp", part("blocks").alias("block"), every("parts").alias("part"), F.lit(1).alias("side")).union(asked)
     more = cells.join(sets, "cls").groupBy("bucket", "block", "part").applyInArrow(_block(percent), "a long, b long")
-    return profile, scratch.table(edges.union(more), "all_edges")
+    return profile, classes, scratch.table(edges.union(more), "all_edges")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similar sets), and n_copies, the documents of the same set."""
     scratch = Scratch(docs.sparkSession, "ngram_join")
-    profile, edges = links(docs, scratch, k, percent, **options)
-    classes = scratch.table(profile.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies")), "classes")
+    profile, classes, edges = links(docs, scratch, k, percent, **options)
     comp = components(edges, scratch, "final")
     mine = classes.join(comp, classes.cls == comp.v, "left").select("cls", "first", "n_copies", F.coalesce("m", "cls").alias("comp"))
     mine = scratch.table(mine, "mine")
