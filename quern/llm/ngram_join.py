@@ -49,6 +49,8 @@ LEAST_LEVEL = 4
 BLOCK, ASKING = 1024, 1024
 #: Documents of large buckets that each other document of theirs is compared with first.
 LEADERS = 4
+#: Partners of a class that are compared with it in one group of rows.
+PARTNERS = 128
 
 _GROUP = splitmix(64, 37)
 #: An index entry: 48 bits of the signature (the highest tells combinations from single tokens; the shard
@@ -452,7 +454,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = SHINGLE_WORDS, percent: in
     pairs = scratch.table(pairs.union(stars).distinct(), "pairs")
     sets = _sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")), k, scratch, "sets")
     # a class with many partners is dealt over several tasks by salt
-    wide = pairs.groupBy("a").agg((F.count("*") / 512).cast("int").alias("salts"))
+    wide = pairs.groupBy("a").agg((F.count("*") / PARTNERS).cast("int").alias("salts"))
     salted = pairs.join(wide, "a").select("a", F.pmod(F.hash("b"), F.col("salts") + 1).alias("salt"), "b")
     partners = salted.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "tokens")
     own = wide.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.lit(None).cast("long").alias("b"), "tokens")
