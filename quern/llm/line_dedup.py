@@ -3,8 +3,9 @@
 Each task fills both filters from its lines; the filters of all tasks are merged slice by slice (a
 bit set in two tasks' once-filters belongs to the twice-filter). Only lines that the twice-filter
 suspects are shuffled, as 128-bit digests with their doc_id, for an exact count of documents and the
-choice of the document that keeps them. The filters' size is fixed (filter_bits); past their capacity
-more lines are suspected and shuffled, and results stay exact. If the confirmed keys are few enough
+choice of the document that keeps them. The filters are sized by the texts' bytes (a bit for each
+BYTES_A_BIT, some ten bits a line) unless filter_bits says so, up to MAX_FILTER_BITS, since one of them is broadcast; beyond that
+more lines are suspected and shuffled (24 bytes each), and results stay exact. If the confirmed keys are few enough
 (broadcast_keys, checked), they are broadcast and the texts stay where they are; otherwise the texts are
 joined with the keys that they lose.
 
@@ -35,7 +36,8 @@ from .shared import Scratch, free_names, map_arrow, partitions, small_batches
 from .textkit import IS_WS, LOWER, chunks, hash_runs, mix64
 
 MIN_CHARS, MIN_DOCS = 40, 5
-FILTER_BITS = 1 << 25
+#: Bytes of text for which a filter gets a bit, and its limits; a task holds two packed filters of at most 128 MB.
+BYTES_A_BIT, MIN_FILTER_BITS, MAX_FILTER_BITS = 8, 1 << 16, 1 << 30
 SLICES = 64
 #: Repeated keys up to which they are broadcast (24 bytes each) and no text is shuffled; beyond, texts are joined with their drops.
 BROADCAST_KEYS = 1 << 18
@@ -82,21 +84,35 @@ def _holds(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set(packed: np.ndarray, *places: np.ndarray) -> None:
+    """Set bits of a packed filter."""
+    at = np.unique(np.concatenate(places))
+    if len(at):
+        byte = at >> 3
+        first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+        packed[byte[first]] |= np.bitwise_or.reduceat((128 >> (at & 7)).astype(np.uint8), first)
+
+
+def bits_for(n_bytes: int) -> int:
+    """Bits of a filter for texts of that many bytes: a power of two."""
+    return min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (n_bytes // BYTES_A_BIT).bit_length()))
+
+
 def _fill(bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for _, _, raw, offsets in chunks(batch.column(0)):
                 text, hashes, _, _ = long_keys(raw, offsets, min_chars)
                 hashes, count = np.unique(hashes[_once_each(text, hashes)], return_counts=True)
                 a, b = _places(hashes, bits)
-                again = (count > 1) | (once[a] & once[b])
-                twice[a[again]] = twice[b[again]] = True
-                once[a] = once[b] = True
-        step = bits // SLICES
+                again = (count > 1) | _holds(once, hashes)
+                _set(twice, a[again], b[again])
+                _set(once, a, b)
+        step = bits // 8 // SLICES
         for s in range(SLICES):
-            part = [np.packbits(x[s * step : (s + 1) * step]).tobytes() for x in (once, twice)]
-            if any(part[0]):
+            part = [x[s * step : (s + 1) * step] for x in (once, twice)]
+            if part[0].any():
                 yield {"slice": [s], "once": [zlib.compress(part[0], 1)], "twice": [zlib.compress(part[1], 1)]}
 
     return run
@@ -200,16 +216,18 @@ def _drop_known(names: list[str], at: int, own: int, filter_, repeated, min_char
     return run
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """The documents with repeated lines dropped, and two more columns, the last: __n_lines (before) and __n_dropped."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "line_dedup")
-    slices = map_arrow(docs.select(F.col("text").cast("string")), _fill(filter_bits, min_chars), "slice int, once binary, twice binary")
-    merged = map_arrow(slices.repartition(min(SLICES, partitions(spark)), "slice"), _merge(filter_bits), "slice int, twice binary")
-    step = filter_bits // 8 // SLICES
-    twice = np.zeros(filter_bits // 8, np.uint8)
-    for row in merged.collect():  # SLICES rows, filter_bits / 8 bytes before compression
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    bits = filter_bits or bits_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    slices = map_arrow(texts, _fill(bits, min_chars), "slice int, once binary, twice binary")
+    merged = map_arrow(slices.repartition(min(SLICES, partitions(spark)), "slice"), _merge(bits), "slice int, twice binary")
+    step = bits // 8 // SLICES
+    twice = np.zeros(bits // 8, np.uint8)
+    for row in merged.collect():  # SLICES rows, bits / 8 bytes before compression
         twice[row.slice * step : (row.slice + 1) * step] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
     filter_ = spark.sparkContext.broadcast(twice)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

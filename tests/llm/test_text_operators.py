@@ -4,6 +4,7 @@ import zlib
 from collections import namedtuple
 
 sys.path.insert(0, __file__.rpartition("/")[0])
+import numpy as np
 import pytest
 from helpers import DOCS, deduped_lines, frame, prose, seeded
 
@@ -31,6 +32,22 @@ def test_line_dedup(spark, options):
     assert sum(x[1] for x in got.values()) > 20
 
 
+def test_line_filters(spark):
+    """A packed filter holds what was put into it, and little else while its size follows the bytes."""
+    hashes = line_dedup.mix64(np.arange(20000, dtype=np.uint64))
+    bits = line_dedup.bits_for(10000 * 80)
+    packed = np.zeros(bits // 8, np.uint8)
+    for a in range(0, 10000, 300):
+        line_dedup._set(packed, *line_dedup._places(hashes[a : min(a + 300, 10000)], bits))
+    assert line_dedup._holds(packed, hashes[:10000]).all()
+    assert line_dedup._holds(packed, hashes[10000:]).mean() < 0.05
+    plain = np.zeros(bits, bool)
+    for at in line_dedup._places(hashes[:10000], bits):
+        plain[at] = True
+    assert (np.unpackbits(packed).astype(bool) == plain).all()
+    assert [line_dedup.bits_for(n) for n in (0, 10**8, 10**15)] == [1 << 16, 1 << 24, 1 << 30]
+
+
 def test_clashing_names(spark):
     """Columns named like the operators' own stay what they are."""
     names = ["__n_lines", "__n_dropped", "__doc_id", "__lang_pred", "__score", "__drops"]
