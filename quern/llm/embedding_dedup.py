@@ -12,23 +12,24 @@ implies, and no pair is missed. A cell is worked on in blocks of BLOCK vectors a
 vectors that visit it, as matrix products that give counts and spanning forests, never pairs; so a hot cell
 or label is many tasks, and each holds a bounded number of vectors. A pair found from one side counts for both.
 
-Equal vectors form one class, compared once and counted with its size. The codebooks come from a
-bounded sample (SAMPLE classes, those with the smallest hashes); every row is indexed.
+Equal vectors form one class, compared once and counted with its size. Each vector length has an index of
+its own, for the LENGTHS most frequent ones; the codebooks come from a bounded sample of it (SAMPLE classes,
+those with the smallest hashes). Every row is indexed: vectors of any further length share one cell a label
+and length, whose blocks are all compared.
 
 Defined cases. Vectors that are null, zero, or hold null or
 non-finite components, and rows whose label is null, link with nothing (n_links 0, their own
-component). Vectors of another length than most sampled ones link with their equals only. Rows with a null
-vec_id link with nothing and get null component_id and kept. Repeated
+component). Vectors of different lengths don't link. Rows with a null vec_id link with nothing and get null component_id and kept. Repeated
 rows link with each other. Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ SAMPLE, ROUNDS, BLOCK, ASKING = 4096, 12, 512, 512
 #: Classes of a label that a cell holds on average; codebooks have between 4 and 1024 centroids.
 PER_CELL = 256
 SLACK, FLOOR = 4.0, 0.1
+#: Vector lengths that get an index, and the cells that an index can have at most.
+LENGTHS, CELLS = 16, 1 << 20
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -147,23 +150,29 @@ def _rows(batch: pa.RecordBatch, single: bool) -> Iterator[dict]:
 def _place(index, single: bool):
     """A row per class in its own cell (ask false), and one for each cell that it visits (ask true)."""
 
+    def rows(part: pa.RecordBatch, at: pa.Array, cell: np.ndarray, ask: bool) -> dict:
+        cls, label, data, n = (c.take(at) for c in part.columns)
+        return {"label": label, "cell": cell, "cls": cls, "n": n, "data": data, "ask": np.full(len(cell), ask)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        m: MultiIndex = index.value
+        indexes: dict[int, tuple[int, MultiIndex]] = index.value
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                size = (m.books[0].shape[1] + m.books[1].shape[1]) * (4 if single else 8)
-                ok = [len(x.as_py()) == size for x in part.column(2)]
-                part = part.filter(pa.array(ok))
-                if not part.num_rows:
-                    continue
-                x = vectors_of(part.column(2), single)
-                own, low = m.bounds(x)
-                row, cell = m.visits(low)
-                home = own[0] * len(m.books[1]) + own[1]
-                yield {"label": part.column(1), "cell": home, "cls": part.column(0), "n": part.column(3), "data": part.column(2), "ask": np.zeros(len(home), bool)}
-                at = pa.array(row)
-                yield {"label": part.column(1).take(at), "cell": cell, "cls": part.column(0).take(at), "n": part.column(3).take(at), "data": part.column(2).take(at), "ask": np.ones(len(row), bool)}
+                chunk = batch.slice(a, 2048)
+                sizes = pa.compute.binary_length(chunk.column(2)).to_numpy()
+                for size in np.unique(sizes).tolist():
+                    part = chunk.filter(pa.array(sizes == size))
+                    every = pa.array(np.arange(part.num_rows))
+                    if size not in indexes:
+                        cell = np.full(part.num_rows, -size, np.int64)
+                        yield rows(part, every, cell, False)
+                        yield rows(part, every, cell, True)
+                        continue
+                    rank, m = indexes[size]
+                    own, low = m.bounds(vectors_of(part.column(2), single))
+                    row, cell = m.visits(low)
+                    yield rows(part, every, rank * CELLS + own[0] * len(m.books[1]) + own[1], False)
+                    yield rows(part, pa.array(row), rank * CELLS + cell, True)
 
     return run
 
@@ -172,14 +181,14 @@ def _verify(index, threshold: float, single: bool):
     """Of each (label, cell, block, part): links counted for both sides, and a forest of them. Rows come sorted by that key."""
 
     def work(x: pa.Table) -> Iterator[dict]:
-        m: MultiIndex = index.value
         ask = x["ask"].to_numpy()
         cls, n = x["cls"].to_numpy(), x["n"].to_numpy()
         points, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
         if not len(points) or not len(asking):
             return
         vectors = vectors_of(x["data"], single)
-        (own, low) = m.bounds(vectors)
+        _, m = index.value.get(len(x["data"][0].as_py()), (0, None))
+        own, low = m.bounds(vectors) if m else (None, None)
         counts = np.zeros(len(cls), np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         for a in range(0, len(asking), BLOCK):
@@ -189,9 +198,10 @@ def _verify(index, threshold: float, single: bool):
             other = cls[i] != cls[j]
             i, j = i[other], j[other]
             np.add.at(counts, i, n[j])
-            # where the point doesn't visit the asker's cell, nobody else counts this link for it
-            back = low[0][j, own[0][i]] + low[1][j, own[1][i]] > m.bound
-            np.add.at(counts, j[back], n[i][back])
+            if m:
+                # where the point doesn't visit the asker's cell, nobody else counts this link for it
+                back = low[0][j, own[0][i]] + low[1][j, own[1][i]] > m.bound
+                np.add.at(counts, j[back], n[i][back])
             if len(i):
                 edges.append(forest(cls[i], cls[j]))
         some = np.flatnonzero(counts)
@@ -223,17 +233,21 @@ def _verify(index, threshold: float, single: bool):
     return run
 
 
-def fit(classes: DataFrame, count: int, threshold: float, recall: float, single: bool) -> MultiIndex | None:
-    """The driver gets at most SAMPLE vectors."""
-    part = classes.select("data", "label", F.pmod(F.xxhash64("cls"), F.lit(1 << 32)).alias("h"))
-    rows = part.filter(F.col("h") < int((1 << 32) * min(1.0, (2 * SAMPLE + 100) / max(1, count)))).orderBy("h").limit(SAMPLE).collect()
-    if not rows:
-        return None
-    usual = Counter(len(r.data) for r in rows).most_common(1)[0][0]
-    sample = vectors_of([bytes(r.data) for r in rows if len(r.data) == usual], single)
-    labels = len({r.label for r in rows})
-    k = int(np.clip(2 ** round(np.log2(max(1, count / labels / PER_CELL)) / 2), 4, 1024))
-    return MultiIndex(sample, k, threshold, recall)
+def fit(classes: DataFrame, threshold: float, recall: float, single: bool) -> dict[int, tuple[int, MultiIndex]]:
+    """(rank, index) of each of the most frequent sizes of vectors in bytes. The driver gets at most SAMPLE vectors of each."""
+    size = F.octet_length("data")
+    usual = classes.groupBy(size.alias("size")).count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()
+    out = {}
+    for rank, u in enumerate(usual):
+        part = classes.filter(size == u["size"]).select("data", "label", F.pmod(F.xxhash64("cls"), F.lit(1 << 32)).alias("h"))
+        rows = part.filter(F.col("h") < int((1 << 32) * min(1.0, (2 * SAMPLE + 100) / u["count"]))).orderBy("h").limit(SAMPLE).collect()
+        if not rows:
+            continue
+        sample = vectors_of([bytes(r.data) for r in rows], single)
+        labels = len({r.label for r in rows})
+        k = int(np.clip(2 ** round(np.log2(max(1, u["count"] / labels / PER_CELL)) / 2), 4, int(CELLS**0.5)))
+        out[u["size"]] = rank, MultiIndex(sample, k, threshold, recall)
+    return out
 
 
 def dedup(embeddings: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -246,10 +260,10 @@ def dedup(embeddings: DataFrame, *, threshold: float = THRESHOLD, recall: float
     rows = scratch.table(map_arrow(rows, _classes(single), "vec_id long, label long, cls long, data binary"), "rows")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.first("data").alias("data"), F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = scratch.table(classes, "classes")
-    index = fit(classes, classes.count(), threshold, recall, single)
+    index = fit(classes, threshold, recall, single)
     own = rows.select("vec_id", "cls")
     alone = own.filter("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
-    if index is None:
+    if not index:
         return alone
     shared = spark.sparkContext.broadcast(index)
     placed = scratch.table(map_arrow(classes.select("cls", "label", "data", "n"), _place(shared, single), "label long, cell long, cls long, n long, data binary, ask boolean"), "placed")

@@ -152,6 +152,22 @@ def test_embedding_dedup(spark, recall):
         assert got == want
 
 
+@pytest.mark.parametrize("lengths", [16, 1])
+def test_embedding_lengths(spark, monkeypatch, lengths):
+    """Each vector length is compared with itself, with an index of its own or without."""
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", lengths)
+    r = np.random.default_rng(4)
+    rows = []
+    for width in (16, 9, 9, 2, 1):
+        for _ in range(12):
+            centre = r.normal(size=width)
+            rows += [(centre + r.normal(size=width) * r.choice([0, 0.02, 0.2])).astype(np.float32).tolist() for _ in range(r.integers(1, 6))]
+    rows = [(i, v, i % 2) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.dedup(df, recall=1.0).collect()}
+    assert got == brute(rows) and sum(n for n, _ in got.values()) > 100
+
+
 def test_embedding_rows(spark):
     rows = [(5, [1.0, 0.0], 1)] * 3 + [(None, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (1, [1.0, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
