@@ -289,10 +289,12 @@ def thumbnail(head: dict, coefficients: np.ndarray) -> np.ndarray:
 
 
 def average_hash(pixels: np.ndarray) -> str:
-    """64 bits: is the mean of each of 8x8 cells (nearest rows and columns) above the mean of all?"""
-    h, w = pixels.shape
-    small = pixels[np.arange(8)[:, None] * h // 8, np.arange(8)[None] * w // 8]
-    return np.packbits(small > small.mean()).tobytes().hex()
+    """64 bits: is the mean of each of 8x8 cells above the mean of these? Where there are fewer than 8 rows or columns, the nearest ones repeat."""
+    for axis in (0, 1):
+        first = np.arange(8) * pixels.shape[axis] // 8
+        size = np.maximum(np.diff(first, append=pixels.shape[axis]), 1)
+        pixels = np.add.reduceat(pixels.astype(np.float64), first, axis) / (size[:, None] if axis == 0 else size)
+    return np.packbits(pixels > pixels.mean()).tobytes().hex()
 
 
 def _store(texts: pa.Array) -> Iterator[list[tuple[int, bytes]]]:

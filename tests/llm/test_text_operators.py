@@ -424,3 +424,15 @@ def test_quality_scores_by_brute_force():
             attention.append(math.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
         z = [sum(a * e[j] for a, e in zip(attention, encoded, strict=True)) / sum(attention) for j in range(quality.HIDDEN)]
         assert abs(got - 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["d"][0])))) < 1e-9
+
+
+def test_average_hash():
+    """The mean of every pixel of a cell counts, by a plain loop; small thumbnails repeat their nearest pixels."""
+    r = np.random.default_rng(1)
+    for shape in ((1, 1), (3, 9), (8, 8), (20, 31), (8, 64)):
+        pixels = r.integers(0, 256, shape).astype(np.uint8)
+        at = [[range(i * n // 8, max((i + 1) * n // 8, i * n // 8 + 1)) for i in range(8)] for n in shape]
+        cells = [np.mean([int(pixels[y, x]) for y in rows for x in columns]) for rows in at[0] for columns in at[1]]
+        middle = np.mean(cells)
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(media.average_hash(pixels)), np.uint8))
+        assert all(b == (c > middle) for b, c in zip(bits, cells, strict=True) if abs(c - middle) > 1e-9)
