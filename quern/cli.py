@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .engine import Engine
+from .errors import QuernError
 from .report import page, write_json
 from .streaming.incremental import IncrementalEngine
 from .streaming.repl import run_script
@@ -39,6 +40,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--profile", help="write strata and rounds to this JSON file, and a page beside it")
     p.add_argument("--explain", action="store_true", help="print strata and rounds")
     a = p.parse_args(argv)
+    try:
+        return _run(a, spark)
+    except QuernError as e:
+        print(*filter(None, (f"error: {e}", e.excerpt)), sep="\n", file=sys.stderr)
+        return 1
+
+
+def _run(a: argparse.Namespace, spark: SparkSession | None) -> int:
     spark = spark or SparkSession.builder.appName("quern").getOrCreate()
     kind, extended = MODES[a.mode]
     options = {"facts": a.facts, "include": a.include, "functions": functions_of(a.udf_file), "sip": a.sip, "max_rounds": a.max_rounds, "extended": extended}

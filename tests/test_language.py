@@ -1,6 +1,7 @@
 import pytest
 
 from quern.errors import DeclarationProblem, IncludeProblem, QuernError, RuleProblem, StratificationProblem, SyntaxProblem, TypeProblem
+from quern.plans.expand import load
 from quern.plans.parser import parse, tokens
 from quern.plans.program import build
 
@@ -86,3 +87,20 @@ def test_parser_never_breaks(text):
         build(text)
     except QuernError:
         pass
+
+
+def test_places_of_errors(tmp_path, capsys, spark):
+    from quern.cli import main
+
+    (tmp_path / "a.dl").write_text(".decl A(x: int32)\n\n\tA(1) B.\n")
+    (tmp_path / "p.dl").write_text('.include "a.dl"\n')
+    with pytest.raises(SyntaxProblem) as e:
+        load('.decl R(a: int32)\n.include "a.dl"', tmp_path)
+    assert (e.value.line, e.value.column, e.value.excerpt) == (3, 7, "\tA(1) B.\n\t     ^") and "of a.dl" in str(e.value)
+    (tmp_path / "a.dl").write_text(".decl A(x: int32)\n")
+    with pytest.raises(SyntaxProblem) as e:
+        load('.include "a.dl" .decl R(a: int32)\nR(1) $', tmp_path)
+    assert str(e.value).startswith("line 2, column 6: ")
+    (tmp_path / "a.dl").write_text("\n  A(x) :- B(x).")
+    assert main([str(tmp_path / "p.dl")], spark) == 1
+    assert "line 2, column 11 of a.dl" in (err := capsys.readouterr().err) and "  A(x) :- B(x).\n          ^" in err
