@@ -12,7 +12,8 @@ coefficients of the luminance blocks give (a pixel per block).
 
 Defined cases. A null text is empty and takes 192 padding bytes. Equal texts give equal values. A
 text of any length fits: MCUs fill a grid at most GRID wide, and the places left at the end hold
-blocks of zeros. Further columns are kept by the operator; an empty table gives an empty result.
+blocks of zeros. Intervals are coded and read in runs of some PIECE MCUs, so that a long text takes
+a few bytes of memory for each of its own. Further columns are kept by the operator; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from .shared import map_arrow, small_batches
 MCU_BYTES, PAD = 192, 32
 CENTRE = 108
 RESTART, GRID = 8, 64
-#: Payload bytes that are encoded and decoded together.
+#: Payload bytes of texts that are encoded and decoded together, and MCUs that are coded at once, of a longer text too.
 BATCH_BYTES = 4 << 20
+PIECE = 5 * BATCH_BYTES // 4 // MCU_BYTES
 
 # The zigzag order follows from walking the 8x8 diagonals.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -78,16 +80,47 @@ def _header(n_bytes: int, mcus: int) -> bytes:
     return b"\xff\xd8" + _marker(0xFE, note) + _marker(0xDB, b"\0" + b"\1" * 64) + _marker(0xC0, frame) + _marker(0xC4, b"\x00" + DC_BODY) + _marker(0xC4, b"\x10" + AC_BODY) + _marker(0xDD, struct.pack(">H", RESTART)) + _marker(0xDA, scan)
 
 
+def _pieces(cells: list[int], most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs of whole intervals, of at most that many cells: (image, first cell, cell after the last)."""
+    held, room = [], most
+    for i, n in enumerate(cells):
+        at = 0
+        while at < n:
+            end = n if n - at <= room else at + room // RESTART * RESTART
+            if end > at:
+                held.append((i, at, end))
+                room -= end - at
+                at = end
+            if at < n:
+                yield held
+                held, room = [], most
+    if held:
+        yield held
+
+
 def encode(payloads: list[bytes], n_bytes: list[int]) -> list[bytes]:
     """JPEG files of payloads, each a positive multiple of MCU_BYTES long."""
-    mcus = np.array([len(p) // MCU_BYTES for p in payloads])
-    cells = np.array([w * h for w, h in map(grid, mcus.tolist())])
-    coefficients = np.zeros((int(cells.sum()), 3, 64), np.int64)
-    used = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells) < np.repeat(mcus, cells)
-    coefficients[used] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3, 64).astype(np.int64) - CENTRE
-    # restart intervals: each image starts one, and every RESTART MCUs of it
-    place = np.arange(len(coefficients)) - np.repeat(np.cumsum(cells) - cells, cells)
-    opens = place % RESTART == 0
+    mcus = [len(p) // MCU_BYTES for p in payloads]
+    cells = [w * h for w, h in map(grid, mcus)]
+    files = [[_header(text, m)] for text, m in zip(n_bytes, mcus, strict=True)]
+    for piece in _pieces(cells, PIECE):
+        coefficients = np.zeros((sum(b - a for _, a, b in piece), 3, 64), np.int64)
+        at = 0
+        for i, a, b in piece:
+            part = np.frombuffer(payloads[i][a * MCU_BYTES : b * MCU_BYTES], np.uint8).reshape(-1, 3, 64)
+            coefficients[at : at + len(part)] = part.astype(np.int64) - CENTRE
+            at += b - a
+        scan, cut = _entropy(coefficients, np.concatenate([np.arange(a, b) for _, a, b in piece]) % RESTART == 0)
+        j = 0
+        for i, a, b in piece:
+            for n in range(a // RESTART, -(-b // RESTART)):  # RST0-7 between the intervals of an image and EOI at its end
+                files[i] += [scan[cut[j] : cut[j + 1]], bytes([0xFF, 0xD0 + n % 8]) if (n + 1) * RESTART < cells[i] else b"\xff\xd9"]
+                j += 1
+    return [b"".join(x) for x in files]
+
+
+def _entropy(coefficients: np.ndarray, opens: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The coded intervals of some MCUs, and where each starts and the last one ends; opens: the MCUs that start one."""
     dc = coefficients[:, :, 0].copy()
     coefficients[1:, :, 0] = dc[1:] - np.where(opens[1:, None], 0, dc[:-1])
     flat = coefficients.reshape(-1, 64)
@@ -129,23 +162,12 @@ def encode(payloads: list[bytes], n_bytes: list[int]) -> list[bytes]:
     for j in range(4):
         out += np.bincount((offset >> 3) + j, weights=(window >> (24 - 8 * j)) & 255, minlength=n + 4)[: n + 4].astype(np.int64)
     raw = out[:n].astype(np.uint8)
-    # stuffing, then RST0-7 between the intervals of an image and EOI at its end
     stuffed = np.repeat(raw, np.where(raw == 255, 2, 1))
     ff = np.cumsum(raw == 255)
     again = np.flatnonzero(raw == 255)
     stuffed[again + ff[again]] = 0
     cut = np.concatenate([[0], (base + size_of) + np.concatenate([[0], ff])[base + size_of]])
-    scan = stuffed.tobytes()
-    files, i = [], 0
-    for payload, text, count, m in zip(payloads, n_bytes, cells.tolist(), mcus.tolist(), strict=True):
-        parts = [_header(text, m)]
-        n_int = -(-count // RESTART)
-        for j in range(n_int):
-            parts.append(scan[cut[i + j] : cut[i + j + 1]])
-            parts.append(bytes([0xFF, 0xD0 + j % 8]) if j < n_int - 1 else b"\xff\xd9")
-        i += n_int
-        files.append(b"".join(parts))
-    return files
+    return stuffed.tobytes(), cut
 
 
 def parse(data: bytes) -> dict:
@@ -224,27 +246,41 @@ def _scans(scans: list[np.ndarray], cells: np.ndarray, tables: dict, scan, n: in
     keep = np.ones(len(raw), bool)
     keep[ff[after == 0] + 1] = False
     keep[cut] = keep[cut + 1] = False
-    before = np.concatenate([[0], np.cumsum(keep)])
-    body = np.concatenate([raw[keep], np.full(16, 255, np.uint8)])
+    gone = np.flatnonzero(~keep)
+    body = raw[keep]
     intervals = -(-cells // restart)
     starts = np.concatenate([[0], cut[:-1] + 2])
     if len(starts) != intervals.sum() or (np.searchsorted(cut, ends) != np.cumsum(intervals)).any():
         raise ValueError("restart markers don't match the dimensions")
-    pos = before[starts].astype(np.int64) * 8
+    first, last = (at - np.searchsorted(gone, at) for at in (starts, cut))
     image = np.repeat(np.arange(len(cells)), intervals)
     place = np.arange(len(image)) - np.repeat(np.cumsum(intervals) - intervals, intervals)
     mcu = (np.cumsum(cells) - cells)[image] + place * restart
     blocks_left = np.minimum(restart, cells[image] - place * restart) * n
-    wide = body.astype(np.int64)
-    window = wide[:-4] << 32 | wide[1:-3] << 24 | wide[2:-2] << 16 | wide[3:-1] << 8 | wide[4:]  # 40 bits from each byte on
     dc = np.stack([_lookup(tables[t[1] >> 4]) for t in scan])
     ac = np.stack([_lookup(tables[0x10 | t[1] & 15]) for t in scan])
     luts = np.stack([dc, ac]).reshape(-1)  # [AC?, component, window]
     out = np.zeros(int(cells.sum()) * n * 64, np.int16)
-    block = np.zeros(len(mcu), np.int64)
-    k = np.zeros(len(mcu), np.int64)
-    base = mcu * (n * 64)
-    live = np.arange(len(mcu))
+    many = max(1, PIECE // restart)
+    for a in range(0, len(mcu), many):
+        run = slice(a, a + many)
+        _walk(body[first[a] : last[run][-1]], (first[run] - first[a]) * 8, mcu[run] * (n * 64), blocks_left[run], luts, n, out)
+    out = out.reshape(-1, n, 64)
+    # DC differences add up within each interval
+    sums = np.cumsum(out[:, :, 0].astype(np.int64), axis=0)
+    opened = np.repeat(mcu, np.minimum(restart, cells[image] - place * restart))
+    out[:, :, 0] = sums - np.where(opened[:, None] > 0, sums[opened - 1], 0)
+    return out
+
+
+def _walk(body: np.ndarray, pos: np.ndarray, base: np.ndarray, blocks_left: np.ndarray, luts: np.ndarray, n: int, out: np.ndarray) -> None:
+    """Decode intervals in step: each starts at a bit of the body and writes its blocks to out from its base on."""
+    body = np.concatenate([body, np.full(16, 255, np.uint8)])
+    wide = body.astype(np.int64)
+    window = wide[:-4] << 32 | wide[1:-3] << 24 | wide[2:-2] << 16 | wide[3:-1] << 8 | wide[4:]  # 40 bits from each byte on
+    block = np.zeros(len(pos), np.int64)
+    k = np.zeros(len(pos), np.int64)
+    live = np.arange(len(pos))
     while len(live):
         w = (window[pos >> 3] << (pos & 7)) & 0xFFFFFFFFFF
         found = luts[((k > 0) * n + block % n) * 65536 + (w >> 24)]
@@ -268,12 +304,6 @@ def _scans(scans: list[np.ndarray], cells: np.ndarray, tables: dict, scan, n: in
             if ended.any():
                 go = ~ended
                 live, pos, block, k, base, blocks_left = live[go], pos[go], block[go], k[go], base[go], blocks_left[go]
-    out = out.reshape(-1, n, 64)
-    # DC differences add up within each interval
-    sums = np.cumsum(out[:, :, 0].astype(np.int64), axis=0)
-    first = np.repeat(mcu, np.minimum(restart, cells[image] - place * restart))
-    out[:, :, 0] = sums - np.where(first[:, None] > 0, sums[first - 1], 0)
-    return out
 
 
 def payload(head: dict, coefficients: np.ndarray) -> bytes:

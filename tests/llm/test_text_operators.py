@@ -436,3 +436,21 @@ def test_average_hash():
         middle = np.mean(cells)
         bits = np.unpackbits(np.frombuffer(bytes.fromhex(media.average_hash(pixels)), np.uint8))
         assert all(b == (c > middle) for b, c in zip(bits, cells, strict=True) if abs(c - middle) > 1e-9)
+
+
+@pytest.mark.parametrize("piece", [8, 24, 1000])
+def test_jpeg_in_pieces(monkeypatch, piece):
+    """Files are the same, whatever is coded at once; long payloads are cut between intervals only."""
+    r = np.random.default_rng(2)
+    payloads = [r.integers(0, 256, 192 * n).astype(np.uint8).tobytes() for n in (1, 7, 8, 9, 64, 65, 513)]
+    sizes = [len(x) for x in payloads]
+    whole = media.encode(payloads, sizes)
+    monkeypatch.setattr(media, "PIECE", piece)
+    assert media.encode(payloads, sizes) == whole
+    assert [media.payload(*x) for x in media.decode(whole)] == payloads
+    cells = [5, 8, 100, 1, 16, 40]
+    runs = list(media._pieces(cells, piece))
+    assert all(sum(b - a for _, a, b in x) <= piece for x in runs)
+    for i, n in enumerate(cells):
+        own = [x[1:] for run in runs for x in run if x[0] == i]
+        assert own[0][0] == 0 and own[-1][1] == n and all(a[1] == b[0] and b[0] % media.RESTART == 0 for a, b in zip(own, own[1:]))
