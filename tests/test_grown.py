@@ -52,3 +52,15 @@ def test_heads_that_do_not_fix_their_joins_stay_distinct(spark):
     }.items():
         got = [tuple(r) for r in Engine(spark, text + rule).insert("E", rows).query("Out").collect()]
         assert len(got) == len(want) and set(got) == want, rule
+
+
+def test_generations_without_rounds_over_pairs(spark, tmp_path, monkeypatch):
+    """Keys with gaps (several tops), repeated, 0 and negative; groups larger than a cell."""
+    monkeypatch.setattr("quern.operators.rules.CELL", 16)
+    keys = [k for k in range(-3, 400) if k % 11 and k not in (4, 5, 40)] + [7, 7, 5000, 15001, 45003, 45004, 15002]
+    folder = write(spark, tmp_path, supplier=("s_suppkey long, s_nationkey int, s_acctbal double", [(k, 0, 0.0) for k in keys]))
+    df = QUERIES["r1_same_generation"](spark, folder)
+    assert len(same(df, ORACLES["r1_same_generation"], folder)) > 10000
+    assert top(df) != "Aggregate"
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "column" in plan
