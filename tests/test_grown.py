@@ -4,6 +4,7 @@ from conftest import same
 
 from quern.engine import Engine
 from quern.queries import ORACLES, QUERIES
+from quern.streaming.incremental import IncrementalEngine
 
 
 def write(spark, folder, **tables):
@@ -75,3 +76,11 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     df = Engine(spark, text, facts=str(tmp_path)).query("Out")
     assert {tuple(r) for r in df.collect()} == {(1, 2), (1, -2), (7, 8), (2**63 - 1, -(2**63))}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_first_commit_groups_its_rows_once(spark):
+    e = IncrementalEngine(spark, ".decl A(a: int64)\n.decl Out(a: int64)\n.output Out\nOut(x) :- A(x).")
+    e.insert("A", [(1,), (1,), (2,)]).remove("A", [(2,), (3,)])
+    plus, minus = e._input_changes({}, [])
+    assert [tuple(r) for r in plus["a"].collect()] == [(1,)] and not minus
+    assert e.scratch.n == 3  # the counts, what comes, what goes
